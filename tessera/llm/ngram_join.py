@@ -4,18 +4,23 @@ The global n-gram order is the order of the 64-bit shingle hashes. It is cut
 into fragments, and a document's set falls into one segment per fragment.
 
 * Candidates. Two sets of at most S shingles with Jaccard p/100 or more differ
-  in at most D = 2S(100-p)/(100+p) shingles, so of D + 2 fragments at least two
-  segments are equal in both. Sets are banded by size; a band has its own cut,
+  in at most D = 2S(100-p)/(100+p) shingles, so of D + 1 + s fragments more than
+  s segments are equal in both. Sets are banded by size; a band has its own cut,
   and a set whose larger partners may lie in the next band also joins that
-  one's cut. Documents meet only where a whole segment agrees (about nine
-  shingles at p = 90), so a passage or line that many documents share brings
-  no candidates.
+  one's cut. Documents meet only where a whole segment agrees, and not on the s
+  most frequent segments of either, so lines and passages that many documents
+  share bring hardly any candidates.
 * Counts. Each candidate pair's overlap is counted fragment by fragment and
   summed per pair; the sum decides exactly.
 * Hot groups. Equal sets are folded to one representative first. Inside a
   bucket of agreeing segments all members are compared with one pivot (a star,
-  not all pairs); only members that are still not known to be connected are
-  then compared with each other, so no link that changes a component is lost.
+  not all pairs): the member that agrees with most others over all its
+  segments, which for copies of one text with edits is the text itself. Only
+  members that are still not connected are then looked at again: in crowded
+  buckets by their differences from the pivot, of which two linked sets share
+  a known part, so no link that changes a component is lost. A set has many segments, so even a
+  bucket with a third of all sets is a small part of the segment table; that
+  table is sorted by segment and read as a stream, never held by group.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
@@ -33,6 +38,8 @@ from tessera.storage import materialize
 
 #: Fragments in which overlaps are counted.
 COUNT_FRAGMENTS = 4
+#: Members up to which an open bucket's pairs are compared directly.
+CROWD = 8
 
 
 def _edges(percent: int) -> np.ndarray:
@@ -43,55 +50,78 @@ def _edges(percent: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def _segment_keys(h: np.ndarray, band: int, top: int, percent: int) -> np.ndarray:
-    """One key per segment of the band's cut; none where only equal sets can link."""
-    differ = 2 * top * (100 - percent) // (100 + percent)
-    if not differ:
-        return np.empty(0, np.uint64)
-    k = differ + 2
+def _cut(band: int, edges: np.ndarray, percent: int) -> tuple[int, int]:
+    """(fragments, spare) of a band's cut: linked sets agree in more than ``spare`` segments; no fragments where only equal sets link."""
+    differ = 2 * (int(edges[band + 1]) - 1) * (100 - percent) // (100 + percent)
+    spare = 3 + differ // 5
+    return (differ + 1 + spare, spare) if differ else (0, 0)
+
+
+def _segment_keys(h: np.ndarray, band: int, k: int) -> np.ndarray:
+    """One key per segment of the band's cut, empty ones included."""
     frag = ((h >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
     starts = np.flatnonzero(np.r_[True, frag[1:] != frag[:-1]])
-    sums, at = np.add.reduceat(mix(h), starts), frag[starts]
-    salt = np.uint64(band << 40)
-    keys = mix(sums + mix(at + salt))
-    if k - len(at) >= 2:  # two empty segments can be the two that agree
-        empty = np.setdiff1d(np.arange(k, dtype=np.uint64), at, assume_unique=True)
-        keys = np.r_[keys, mix(mix(empty + salt))]
-    return keys
+    sums = np.zeros(k, np.uint64)
+    sums[frag[starts].astype(np.int64)] = np.add.reduceat(mix(h), starts)
+    return mix(sums + mix(np.arange(k, dtype=np.uint64) + np.uint64(band << 40)))
+
 
+def _bands(n: int, edges: np.ndarray, percent: int) -> list[int]:
+    """The set's band, and the next if larger partners may lie there."""
+    band = int(np.searchsorted(edges, n, "right")) - 1
+    return [band] if 100 * n // percent < edges[band + 1] else [band, band + 1]
 
-def _sets(k: int, percent: int):
+
+def _digests(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, edges = WordHashes(), _edges(percent)
+        memo = WordHashes()
         for batch in batches:
-            n, d1, d2, keys, offsets = [], [], [], [], [0]
+            n, d1, d2 = [], [], []
             for text in batch.column(1):
                 h = shingle_set(text.as_py(), k, memo)
                 m = mix(h)
                 n.append(len(h))
                 d1.append(int(m.sum(dtype=np.uint64).view(np.int64)))
                 d2.append(int(np.bitwise_xor.reduce(mix(m)).view(np.int64)) if len(h) else 0)
-                if len(h):
-                    band = int(np.searchsorted(edges, len(h), "right")) - 1
-                    own = [_segment_keys(h, band, int(edges[band + 1]) - 1, percent)]
-                    if 100 * len(h) // percent >= edges[band + 1]:
-                        own.append(_segment_keys(h, band + 1, int(edges[band + 2]) - 1, percent))
-                    keys += own
-                    offsets.append(offsets[-1] + sum(map(len, own)))
-                else:
-                    offsets.append(offsets[-1])
-            flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)),
-                ],
-                ["id", "n", "d1", "d2", "keys"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())], ["id", "n", "d1", "d2"])
+
+    return run
+
+
+def _key_rows(k: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, edges = WordHashes(), _edges(percent)
+        for batch in batches:
+            ids, keys, cuts = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                h = shingle_set(text.as_py(), k, memo)
+                for band in _bands(len(h), edges, percent) if len(h) else ():
+                    fragments, spare = _cut(band, edges, percent)
+                    if fragments:
+                        keys.append(_segment_keys(h, band, fragments).view(np.int64))
+                        ids.append(np.full(fragments, key, np.int64)), cuts.append(np.full(fragments, spare, np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids, cuts)], ["key", "id", "spare"])
 
     return run
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key those whose key occurs again; holds one batch and one row."""
+    held, again = None, False  # the last row, and whether its key came before it
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [c.to_numpy() for c in batch.columns]
+        if held is not None:
+            columns = [np.r_[h, c] for h, c in zip(held, columns, strict=True)]
+        same = columns[0][1:] == columns[0][:-1]
+        keep = (np.r_[again, same] | np.r_[same, False])[:-1]
+        held, again = [c[-1:] for c in columns], bool(same[-1]) if len(same) else again
+        yield pa.RecordBatch.from_arrays([pa.array(c[:-1][keep]) for c in columns], batch.schema.names)
+    if again:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], ["key", "id", "spare"])
+
+
 def _segments(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
@@ -102,9 +132,8 @@ def _segments(k: int):
                 frag = ((h >> np.uint64(32)) * np.uint64(COUNT_FRAGMENTS)) >> np.uint64(32)
                 for f in range(COUNT_FRAGMENTS):
                     part = h[frag == f]
-                    if len(part):
-                        ids.append(key), sizes.append(len(h)), frags.append(f), parts.append(part)
-                        offsets.append(offsets[-1] + len(part))
+                    ids.append(key), sizes.append(len(h)), frags.append(f), parts.append(part)
+                    offsets.append(offsets[-1] + len(part))
             flat = np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(frags, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))],
@@ -128,7 +157,7 @@ def count_overlaps(pairs: DataFrame, segments: DataFrame, percent: int) -> DataF
     return total.where(F.col("o") * 100 >= (F.col("na") + F.col("nb") - F.col("o")) * percent).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", max_rounds: int = 6) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id) for every row of ``docs``.
 
     Documents link when 100 * |A & B| >= percent * |A | B| over their sets of
@@ -144,63 +173,111 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 5, percent: int = 80,
     if not 75 <= percent <= 100:
         raise ValueError("percent must be 75 to 100")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    base = materialize(source.mapInArrow(_sets(shingle, percent), "id long, n long, d1 long, d2 long, keys array<long>"), "sets")
+    base = materialize(source.mapInArrow(_digests(shingle), "id long, n long, d1 long, d2 long"), "sets")
 
     sets = base.where("n > 0 AND id IS NOT NULL")
-    if not sets.groupBy("id").count().where("count > 1").isEmpty():
-        sets = sets.groupBy("id").agg(F.max(F.struct("n", "d1", "d2", "keys")).alias("s")).select("id", "s.*")
+    repeats = not sets.groupBy("id").count().where("count > 1").isEmpty()
+    if repeats:
+        sets = sets.groupBy("id").agg(F.max(F.struct("n", "d1", "d2")).alias("s")).select("id", "s.*")
     digest = ["n", "d1", "d2"]
     classes = materialize(sets.groupBy(*digest).agg(F.min("id").alias("rep")), "classes")
+    members = base.select("id", *digest).join(classes, digest, "left")
+    if repeats:
+        members = members.drop("rep").join(sets.join(classes, digest).select("id", "rep"), "id", "left")
 
-    buckets = None
+    found = None
     if percent < 100:
-        reps = sets.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
-        rows = reps.select(F.explode("keys").alias("key"), "id")
-        hubs = rows.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
-        buckets = materialize(rows.join(hubs, "key"), "buckets")
-    links = _links(buckets, source, shingle, percent, max_rounds) if buckets is not None and not buckets.isEmpty() else None
-
-    members = base.select("id", *digest).join(classes, digest, "left")
-    if links is not None:
-        found = connected_components(links)
+        read = source.where(F.col("id").isNotNull())
+        if repeats:  # an id's largest text stands for it
+            read = read.join(sets.select("id", *digest), "id").mapInArrow(_chosen(shingle), "id long, text binary").dropDuplicates(["id"])
+        copies = materialize(sets.join(classes, digest).where("id <> rep").select("id").distinct(), "copies")
+        rows = read.join(copies, "id", "left_anti").mapInArrow(_key_rows(shingle, percent), "key long, id long, spare int")
+        buckets = materialize(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, id long, spare int"), "buckets")
+        if not buckets.isEmpty():
+            found = _components(buckets, read, shingle, percent)
+    if found is not None:
         members = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("rep", F.coalesce("component", "rep"))
-    per_id = F.coalesce("rep", "id")
-    return members.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), per_id.alias("component_id"))
+    return members.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("component_id"))
+
 
+def _chosen(k: int):
+    """Of rows (id, text, n, d1, d2) those whose text has the set n, d1, d2."""
+    digests = _digests(k)
 
-def _links(buckets: DataFrame, source: DataFrame, shingle: int, percent: int, max_rounds: int) -> DataFrame:
-    wanted = buckets.select("id").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = next(digests(iter([batch.select(["id", "text"])])))
+            right = np.logical_and.reduce([made.column(c).to_numpy() == batch.column(c).to_numpy() for c in ("n", "d1", "d2")])
+            yield batch.select(["id", "text"]).filter(pa.array(right))
+
+    return run
+
+
+def _components(buckets: DataFrame, source: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(id, component) of the representatives that have links."""
+    # linked sets share more than `spare` keys, so a set's `spare` most frequent ones (in one order for all) needn't be looked at
+    sized = buckets.join(buckets.groupBy("key").agg(F.count("*").alias("m")), "key")
+    frequent = Window.partitionBy("id", "spare").orderBy(F.desc("m"), F.desc("key"))
+    few = sized.withColumn("r", F.row_number().over(frequent)).where("r > spare").select("key", "id")
+    several = few.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    few = materialize(few.join(several, "key"), "few")
+    central = few.groupBy("id").agg(F.sum("m").alias("score"))
+    ranked = materialize(few.join(central, "id").select("key", "id", "score"), "ranked")
+    wanted = materialize(ranked.select("id").distinct(), "wanted")
     segments = materialize(source.join(wanted, "id", "left_semi").mapInArrow(_segments(shingle), "id long, n long, frag int, part array<long>"), "segments")
-    stars = materialize(buckets.where("id <> hub").select(F.col("id").alias("b"), F.col("hub").alias("a")).distinct(), "stars")
-    links = materialize(count_overlaps(stars, segments, percent), "links")
-    tried = stars
-    for turn in range(max_rounds):
-        open_ = materialize(_unsettled(buckets, links), "open")
-        sizes = open_.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("q"))
-        due = sizes.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2).alias("pairs"), F.sum("s").alias("rows")).first()
-        if not due["pairs"]:
-            return links
-        if due["pairs"] <= 8 * due["rows"] or turn == max_rounds - 1:
-            break
-        pivots = open_.groupBy("key").agg(F.min_by(F.struct("id", "label"), F.xxhash64("id", F.lit(turn))).alias("p"))
-        star = open_.join(pivots, "key").where("label <> p.label").select(F.greatest("id", "p.id").alias("b"), F.least("id", "p.id").alias("a"))
-        star = materialize(star.distinct().join(tried, ["a", "b"], "left_anti").select("b", "a"), "stars")
-        new = materialize(count_overlaps(star, segments, percent), "links")
-        tried = tried.unionByName(star)
-        if new.isEmpty():
-            open_ = materialize(_unsettled(buckets, links), "open")
-            break
-        links = links.unionByName(new)
-    one, other = open_.select("key", F.col("id").alias("a"), F.col("label").alias("la")), open_.select("key", F.col("id").alias("b"), F.col("label").alias("lb"))
-    rest = one.join(other, "key").where("a < b AND la <> lb").select("b", "a").distinct().join(tried, ["a", "b"], "left_anti")
-    return links.unionByName(materialize(count_overlaps(rest, segments, percent), "links"))
-
-
-def _unsettled(buckets: DataFrame, links: DataFrame) -> DataFrame:
-    """(key, id, label) of the buckets whose members aren't all known to be connected."""
-    labels = links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("l1"))
-    hop = labels.select(F.col("id").alias("l1"), F.col("l1").alias("l2"))
-    labels = labels.join(hop, "l1", "left").select("id", F.coalesce("l2", "l1").alias("label"))
-    labelled = buckets.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    hubs = ranked.groupBy("key").agg(F.max(F.struct("score", F.negate("id").alias("low"))).alias("h")).select("key", F.negate("h.low").alias("a"))
+    hubbed = materialize(ranked.join(hubs, "key"), "hubbed")
+    tried = materialize(hubbed.where("id <> a").select(F.greatest("id", "a").alias("b"), F.least("id", "a").alias("a")).distinct(), "stars")
+    links = materialize(count_overlaps(tried, segments, percent), "links")
+    found = materialize(connected_components(links), "components")
+    open_ = materialize(_unsettled(hubbed, found), "open")
+    if open_.isEmpty():
+        return found
+    crowded = open_.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > CROWD).select("key")
+    small = open_.join(crowded, "key", "left_anti")
+    one, other = small.select("key", F.col("id").alias("a"), F.col("label").alias("la")), small.select("key", F.col("id").alias("b"), F.col("label").alias("lb"))
+    pairs = one.join(other, "key").where("a < b AND la <> lb").select("a", "b")
+    pairs = pairs.unionByName(_by_difference(open_.join(crowded, "key", "left_semi"), segments, percent)).distinct()
+    pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti").select("b", "a"), "pairs")
+    new = materialize(count_overlaps(pairs, segments, percent), "links")
+    return found if new.isEmpty() else materialize(connected_components(links.unionByName(new)), "components")
+
+
+def _by_difference(members: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a < b) among members of crowded buckets, from how they differ from the bucket's hub.
+
+    With d(x) the shingles in which x and the hub h differ, sets x and z differ
+    in |d(x)| + |d(z)| - 2|d(x) & d(z)|. If both link with h they are connected
+    already. Otherwise a link needs so many common differences that a prefix of
+    d(x), rarest first, must meet one of d(z): lower bounds of that number give
+    the prefix lengths, apart for pairs of which neither or one links with h.
+    """
+    stars = members.where("id <> a").select(F.col("a").alias("hub"), "id", "label").distinct()
+    x = segments.select("id", "frag", F.col("n").alias("n"), F.col("part").alias("px"))
+    h = segments.select(F.col("id").alias("hub"), "frag", F.col("n").alias("nh"), F.col("part").alias("ph"))
+    parts = stars.join(x, "id").join(h, ["hub", "frag"]).select("hub", "id", "label", "n", "nh", F.concat(F.array_except("px", "ph"), F.array_except("ph", "px")).alias("d"))
+    whole = materialize(parts.groupBy("hub", "id", "label", "n", "nh").agg(F.flatten(F.collect_list("d")).alias("d")), "differences")
+    r = (100 - percent) / (100 + percent)
+    size, near = F.size("d"), F.lit(r) * (F.col("n") + F.col("nh"))
+    at_least = lambda c: F.greatest(F.lit(1), F.ceil(c - 1e-9).cast("int"))
+    items = whole.select(
+        "hub", "id", "label", (size <= near + 1e-9).alias("linked"), F.explode("d").alias("item"),
+        (size - at_least((size - near + 2 * r * (1 - r) / (1 + r) * F.col("nh")) / 2) + 1).alias("short"),
+        (size - at_least(F.when(size <= near + 1e-9, size * (1 - r) / 2).otherwise((size - near) / 2)) + 1).alias("long"),
+    )
+    counts = items.groupBy("hub", "item").agg(F.count("*").alias("c")).where("c > 1")
+    rarest = Window.partitionBy("hub", "id").orderBy("c", "item")
+    singles = F.col("size") - F.count("*").over(Window.partitionBy("hub", "id"))  # items of one member come first in the order
+    sized = items.join(whole.select("hub", "id", size.alias("size")), ["hub", "id"]).join(counts, ["hub", "item"])
+    placed = sized.withColumn("at", F.row_number().over(rarest) + singles).where("at <= greatest(short, long)")
+    placed = materialize(placed.select("hub", "item", "id", "label", "linked", (F.col("at") <= F.col("short")).alias("early"), (F.col("at") <= F.col("long")).alias("within")), "prefixes")
+    left, right = placed.where("NOT linked"), placed.select("hub", "item", F.col("id").alias("z"), F.col("label").alias("lz"), F.col("linked").alias("kz"), F.col("early").alias("ez"), F.col("within").alias("wz"))
+    met = left.join(right, ["hub", "item"]).where("label <> lz AND ((kz AND within AND wz) OR (NOT kz AND early AND ez AND id < z))")
+    return met.select(F.least("id", "z").alias("a"), F.greatest("id", "z").alias("b"))
+
+
+def _unsettled(hubbed: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, id, a, label) of the buckets whose members aren't all connected; a is the bucket's hub."""
+    labelled = hubbed.join(found, "id", "left").select("key", "id", "a", F.coalesce("component", "id").alias("label"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     return labelled.join(mixed, "key", "left_semi")
