@@ -12,6 +12,7 @@ is spread over many tasks.
 from __future__ import annotations
 
 import bisect
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -21,44 +22,79 @@ from pyspark.sql import functions as F
 
 from tessera.storage import materialize
 
-#: Distinct chunks whose ids a worker remembers (about 100 MB).
-CACHE_CHUNKS = 400_000
+#: Distinct chunks whose ids a worker remembers (about 200 MB).
+CACHE_CHUNKS = 800_000
+MARKS = ".,!?;:"
 #: Sub-groups into which the pieces of one length are dealt at most.
 MAX_SALTS = 8192
 
 
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else the next free one from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b if b in own else next(rest)) for b in range(256)]
+
+
 class ChunkIds(dict):
     """A run without blanks to its token ids as little-endian uint32 bytes.
 
     The vocabulary's splitting pattern never crosses white space and its
     normaliser composes nothing with a blank, so a text's ids are those of its
-    runs, joined.
+    runs, joined. A run of letters is one word to the pattern and so are marks
+    that follow it, so words are kept apart from them, in lower case, and go
+    to the merge rules directly; anything else takes the whole tokenizer.
     """
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.merges, self.letters = tokenizer, tokenizer.model, _byte_letters()
+
+    def encode(self, text: str) -> bytes:
+        return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __missing__(self, chunk: str) -> bytes:
+        stem = chunk.rstrip(MARKS)
+        word = stem.isalpha() and unicodedata.is_normalized("NFC", stem)
+        if word:
+            if len(stem) < len(chunk):
+                return self[stem] + self[chunk[len(stem) :]]
+            low = stem.lower()
+            if low != stem and low.isalpha() and "Σ" not in stem and unicodedata.is_normalized("NFC", low):
+                return self[low]
+            word = low == stem
         if len(self) >= CACHE_CHUNKS:
             self.clear()
-        ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        value = b"".join(i.to_bytes(4, "little") for i in ids)
-        if len(chunk) <= 200:
+        if word:
+            spelt = chunk if chunk.isascii() else "".join([self.letters[b] for b in chunk.encode()])
+            value = b"".join([t.id.to_bytes(4, "little") for t in self.merges.tokenize(spelt)])
+        else:
+            value = self.encode(chunk)
+        if len(chunk) <= 64:
             self[chunk] = value
         return value
 
 
-def _pieces(path: str, capacity: int, end_id: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_memos: dict[str, ChunkIds] = {}
+
+
+def memo_of(path: str) -> ChunkIds:
+    """This process's memo of a tokenizer file; Spark keeps Python workers, so it serves many tasks."""
+    if path not in _memos:
         from tokenizers import Tokenizer
 
-        memo, end, step = ChunkIds(Tokenizer.from_file(path)), end_id.to_bytes(4, "little"), 4 * capacity
+        _memos.clear()
+        _memos[path] = ChunkIds(Tokenizer.from_file(path))
+    return _memos[path]
+
+
+def _pieces(path: str, capacity: int, end_id: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, end, step = memo_of(path), end_id.to_bytes(4, "little"), 4 * capacity
         for batch in batches:
             keys, piece, start, length, crc = [], [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = text.as_py() or ""
-                data = b"".join(map(memo.__getitem__, raw.replace("\n", " ").split(" "))) + end
+                data = b"".join(map(memo.__getitem__, (text.as_py() or "").replace("\n", " ").split(" "))) + end
                 for k, at in enumerate(range(0, len(data), step)):
                     part = data[at : at + step]
                     keys.append(key), piece.append(k), start.append(at // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))
