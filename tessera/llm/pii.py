@@ -37,7 +37,7 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Generators beyond the base rules: kind, what a text must contain, pattern.
 GENERATORS = (
-    ("email", r"(?i)[\[( ](?:at|@)[\]) ]", r"(?i)(?<![A-Za-z0-9._+-])[A-Za-z0-9._+-]{2,64}\s?[\[(]?\s?(?:at|@)\s?[\])]?\s?[A-Za-z0-9-]{2,63}(?:\s?[\[(]?\s?(?:dot|\.)\s?[\])]?\s?[A-Za-z0-9-]{2,63}){1,3}(?![A-Za-z0-9])"),
+    ("email", r"(?i)[\[( ]\x20?at\x20?[\]) ]", r"(?i)(?<![A-Za-z0-9._+-])[A-Za-z0-9._+-]{2,64}(?:\x20?[\[(]\x20?at\x20?[\])]\x20?|\x20at\x20)[A-Za-z0-9-]{2,63}(?:(?:\x20?[\[(]\x20?dot\x20?[\])]\x20?|\x20dot\x20)[A-Za-z0-9-]{2,63}){1,3}(?![A-Za-z0-9])"),
     ("phone", r"[0-9]", r"(?<![0-9A-Za-z+.,/-])\(?[0-9]{2,5}\)?(?:[\x20./-]{1,2}[0-9]{2,5}){1,5}(?![0-9A-Za-z])"),
     ("id", r"[0-9]-[0-9]", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
     ("iban", r"[A-Z]{2}[0-9]{2}", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[0-9A-Z]{4}){2,7}(?:\x20?[0-9A-Z]{1,4})?(?![0-9A-Za-z])"),
@@ -119,7 +119,7 @@ def _examples(n: int) -> list[dict]:
         good = r.random() < 0.5
         cue = r.random() < 0.75
         if kind == "email":
-            span = f"{word()}{r.choice((' at ', ' (at) ', '[at]'))}{word()}{r.choice((' dot ', ' (dot) ', '[dot]'))}{r.choice(('com', 'org', 'net', 'de'))}" if good else f"{word()} at {word()}.{word().capitalize()}"
+            span = f"{word()}{r.choice((' at ', ' (at) ', '[at]'))}{word()}{r.choice((' dot ', ' (dot) ', '[dot]'))}{r.choice(('com', 'org', 'net', 'de'))}" if good else f"{word()} at {word()} dot {word()}"
             lead = r.choice(("mail", "write to", "contact")) if good and cue else word()
         elif kind == "phone":
             sep = r.choice(" -.")
