@@ -39,7 +39,7 @@ from tessera.storage import materialize
 #: Fragments in which overlaps are counted.
 COUNT_FRAGMENTS = 4
 #: Members up to which an open bucket's pairs are compared directly.
-CROWD = 8
+CROWD = 16
 
 
 def _edges(percent: int) -> np.ndarray:
@@ -261,15 +261,14 @@ def _by_difference(members: DataFrame, segments: DataFrame, percent: int) -> Dat
     size, near = F.size("d"), F.lit(r) * (F.col("n") + F.col("nh"))
     at_least = lambda c: F.greatest(F.lit(1), F.ceil(c - 1e-9).cast("int"))
     items = whole.select(
-        "hub", "id", "label", (size <= near + 1e-9).alias("linked"), F.explode("d").alias("item"),
+        "hub", "id", "label", size.alias("size"), (size <= near + 1e-9).alias("linked"), F.explode("d").alias("item"),
         (size - at_least((size - near + 2 * r * (1 - r) / (1 + r) * F.col("nh")) / 2) + 1).alias("short"),
         (size - at_least(F.when(size <= near + 1e-9, size * (1 - r) / 2).otherwise((size - near) / 2)) + 1).alias("long"),
     )
     counts = items.groupBy("hub", "item").agg(F.count("*").alias("c")).where("c > 1")
     rarest = Window.partitionBy("hub", "id").orderBy("c", "item")
     singles = F.col("size") - F.count("*").over(Window.partitionBy("hub", "id"))  # items of one member come first in the order
-    sized = items.join(whole.select("hub", "id", size.alias("size")), ["hub", "id"]).join(counts, ["hub", "item"])
-    placed = sized.withColumn("at", F.row_number().over(rarest) + singles).where("at <= greatest(short, long)")
+    placed = items.join(counts, ["hub", "item"]).withColumn("at", F.row_number().over(rarest) + singles).where("at <= greatest(short, long)")
     placed = materialize(placed.select("hub", "item", "id", "label", "linked", (F.col("at") <= F.col("short")).alias("early"), (F.col("at") <= F.col("long")).alias("within")), "prefixes")
     left, right = placed.where("NOT linked"), placed.select("hub", "item", F.col("id").alias("z"), F.col("label").alias("lz"), F.col("linked").alias("kz"), F.col("early").alias("ez"), F.col("within").alias("wz"))
     met = left.join(right, ["hub", "item"]).where("label <> lz AND ((kz AND within AND wz) OR (NOT kz AND early AND ez AND id < z))")
