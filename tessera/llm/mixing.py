@@ -31,12 +31,11 @@ def token_count(text: Column) -> Column:
 def text_topic(text: Column) -> Column:
     """A topic by form, for tables that have none: empty, listing, shouting, markup or prose of a length class."""
     t = F.coalesce(text.cast("string"), F.lit(""))
-    head = F.left(t, F.lit(4000))
-    marks = F.length(head) - F.length(F.translate(head, "#*$%&|<>", ""))
+    marks = F.regexp_count(t, F.lit(r"[#*$%&|<>]"))
     return (
         F.when(F.trim(t) == "", "empty")
-        .when(marks * 20 > F.length(head), "markup")
-        .when(~head.rlike(r"\p{Ll}"), "shouting")
+        .when(marks * 20 > F.length(t), "markup")
+        .when(~t.rlike(r"\p{Ll}"), "shouting")
         .when(F.length(t) < 1000, "short")
         .when(F.length(t) < 8000, "medium")
         .otherwise("long")

@@ -321,6 +321,13 @@ def test_raking_and_calibration():
     assert (mixing.calibrate(cells, w, tokens.sum() * 2) == 1).all()
 
 
+def test_topic_reads_the_whole_text(spark):
+    plain, upper = "some words " * 400, "SOME WORDS " * 400
+    rows = spark.createDataFrame([(1, plain + "#|<>" * 2000), (2, upper + "then plain prose " * 10), (3, upper), (4, "#|<> " + plain), (5, None)], "doc_id long, text string")
+    topics = {r.doc_id: r.topic for r in rows.select("doc_id", mixing.text_topic(F.col("text")).alias("topic")).collect()}
+    assert topics == {1: "markup", 2: "medium", 3: "shouting", 4: "medium", 5: "empty"}
+
+
 def test_mixture_meets_its_budget(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = mixing.mix_report(d, budget=0.5).collect()
