@@ -16,9 +16,8 @@ from pyspark.sql import functions as F
 
 from tessera.storage import materialize
 
-#: Values of a dimension (the largest by tokens) that are raked one by one; those beyond are raked together as one.
-NAMED = 64
-REST = "\x00rest"
+#: Cells up to which raking runs on the driver and the probabilities are sent to all rows; beyond, the same steps run on tables.
+CELLS = 50_000
 DIMENSIONS = ("source", "lang", "topic")
 BLANKS = " \t\n\x0b\f\r"
 
@@ -102,6 +101,54 @@ def smoothed(cells: list[Cell], d: int, power: float = 0.5) -> dict[str, float]:
     return {k: v**power / total for k, v in have.items()}
 
 
+def factors(cells: DataFrame, targets: dict[str, dict[str, float]], total: float, rounds: int = 200, tolerance: float = 1e-9) -> list[DataFrame]:
+    """``rake`` on tables: for each dimension (value, aim, f, gap); a cell's weight is its share of the tokens times its three f."""
+    made = []
+    for d in DIMENSIONS:
+        plan = cells.groupBy(d).agg((F.sum("tokens") / total).alias("have")).withColumn("aim", F.sqrt("have"))
+        if targets.get(d):
+            wanted = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in targets[d].items()], f"{d} string, want double")
+            plan = plan.join(wanted, d, "left").withColumn("aim", F.coalesce("want", "have"))
+        plan = plan.select(d, "have", F.when(F.col("have") > 0, F.col("aim")).otherwise(0.0).alias("aim"))
+        whole = plan.agg(F.sum("aim")).first()[0]
+        made.append(materialize(plan.select(d, (F.col("aim") / whole if whole else F.col("have")).alias("aim"), F.lit(1.0).alias("f")), "factors"))
+    for _ in range(rounds):
+        off = 0.0
+        for k, d in enumerate(DIMENSIONS):
+            part, others = F.col("tokens") / total, [j for j in range(len(DIMENSIONS)) if j != k]
+            scaled = cells
+            for j in others:
+                scaled, part = scaled.join(made[j].select(DIMENSIONS[j], F.col("f").alias(f"f_{j}")), DIMENSIONS[j]), part * F.col(f"f_{j}")
+            sums = scaled.groupBy(d).agg(F.sum(part).alias("m"))
+            have = F.col("m") * F.col("f")
+            made[k] = materialize(made[k].join(sums, d).select(d, "aim", F.when(have > 0, F.col("aim") / F.col("m")).otherwise(0.0).alias("f"), F.abs(have - F.col("aim")).alias("gap")), "factors")
+            off = max(off, made[k].agg(F.max("gap")).first()[0])
+        if off < tolerance:
+            break
+    return made
+
+
+def chances(cells: DataFrame, targets: dict[str, dict[str, float]], budget: float) -> DataFrame:
+    """``cells`` with p: ``rake`` and ``calibrate`` on tables; only sums come to the driver. ``budget`` is a share."""
+    total = cells.agg(F.sum("tokens")).first()[0]
+    if not total:
+        return cells.withColumn("p", F.lit(0.0))
+    rated, ratio = cells, F.lit(1.0)
+    for k, made in enumerate(factors(cells, targets, float(total))):
+        rated, ratio = rated.join(made.select(DIMENSIONS[k], F.col("f").alias(f"f_{k}")), DIMENSIONS[k]), ratio * F.col(f"f_{k}")
+    rated = materialize(rated.select(*DIMENSIONS, "tokens", F.when(F.col("tokens") > 0, ratio).otherwise(0.0).alias("ratio")), "rated")
+    ratio, size = F.col("ratio"), F.col("tokens")
+    if budget * total >= (rated.agg(F.sum(F.when(ratio > 0, size))).first()[0] or 0):
+        return rated.withColumn("p", (ratio > 0).cast("double"))
+    full, held, s = F.lit(False), 0, 0.0
+    while True:
+        taken, free, capped = rated.agg(F.sum(F.when(full, size).otherwise(0)), F.sum(F.when(full, 0.0).otherwise(ratio * size)), F.count_if(full)).first()
+        if s and capped == held:
+            return rated.withColumn("p", F.when(full, 1.0).otherwise(F.least(F.lit(1.0), ratio * s)))
+        held, s = capped, (budget * total - taken) / max(free, 1e-300)
+        full = ratio * s > 1
+
+
 def _value(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
@@ -119,19 +166,19 @@ def mix(docs: DataFrame, *, budget: float = 0.5, targets: dict[str, dict[str, fl
     """
     topic = text_topic(F.col(text_col)) if topic is None else topic
     values = {"source": _value(F.col(source_col)), "lang": _value(F.col(lang_col)), "topic": _value(topic)}
+    names = [f"_mix_{d}" for d in DIMENSIONS]
     light = materialize(docs.select(*(v.alias(k) for k, v in values.items()), token_count(F.col(text_col)).alias("n")).groupBy(*DIMENSIONS).agg(F.sum("n").alias("tokens")), "cells")
-    folded, keyed = light, docs.withColumn("_mix_tokens", token_count(F.col(text_col)))
-    for d in DIMENSIONS:
-        top = [r[d] for r in light.groupBy(d).agg(F.sum("tokens").alias("t")).orderBy(F.desc("t"), d).limit(NAMED).collect()]
-        named = lambda c, top=top: F.when(c.isin(*top), c).otherwise(REST) if top else c
-        folded, keyed = folded.withColumn(d, named(F.col(d))), keyed.withColumn(f"_mix_{d}", named(values[d]))
-    cells = [Cell((r["source"], r["lang"], r["topic"]), int(r["tokens"])) for r in folded.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")).orderBy(*DIMENSIONS).collect()]
+    keyed = docs.withColumns({"_mix_tokens": token_count(F.col(text_col))} | {f"_mix_{d}": v for d, v in values.items()})
     targets = targets or {}
-    weights = rake(cells, [targets.get(d) or smoothed(cells, k) for k, d in enumerate(DIMENSIONS)])
-    chance = calibrate(cells, weights, budget * sum(c.tokens for c in cells))
-    table = docs.sparkSession.createDataFrame([(*c.key, float(p)) for c, p in zip(cells, chance, strict=True)], "_mix_source string, _mix_lang string, _mix_topic string, _mix_p double")
-    # at most (NAMED + 1) ** 3 rows, in practice as many as combinations occur
-    joined = keyed.join(F.broadcast(table), ["_mix_source", "_mix_lang", "_mix_topic"], "left")
+    if light.count() <= CELLS:
+        cells = [Cell((r["source"], r["lang"], r["topic"]), int(r["tokens"])) for r in light.orderBy(*DIMENSIONS).collect()]
+        weights = rake(cells, [targets.get(d) or smoothed(cells, k) for k, d in enumerate(DIMENSIONS)])
+        chance = calibrate(cells, weights, budget * sum(c.tokens for c in cells))
+        schema = ", ".join(f"{n} string" for n in names) + ", _mix_p double"
+        table = F.broadcast(docs.sparkSession.createDataFrame([(*c.key, float(p)) for c, p in zip(cells, chance, strict=True)], schema))
+    else:
+        table = chances(light, targets, budget).select(*(F.col(d).alias(n) for d, n in zip(DIMENSIONS, names, strict=True)), F.col("p").alias("_mix_p"))
+    joined = keyed.join(table, names, "left")
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(1 << 40)) / float(1 << 40)
     return joined.withColumn("_mix_p", F.coalesce("_mix_p", F.lit(0.0))).withColumn("_mix_taken", draw < F.col("_mix_p"))
 

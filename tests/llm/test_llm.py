@@ -328,6 +328,21 @@ def test_topic_reads_the_whole_text(spark):
     assert topics == {1: "markup", 2: "medium", 3: "shouting", 4: "medium", 5: "empty"}
 
 
+def test_every_value_is_raked(spark, monkeypatch):
+    rows = [(100 * i + j, "word " * (i + 1), f"host{i:03}", "en" if (i + j) % 3 else "tr") for i in range(90) for j in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    report = lambda: mixing.mix_report(docs, budget=0.2, targets={"source": {"host003": 0.1}}).orderBy("doc_id").collect()
+    small = report()
+    assert {r.source_cell for r in small} == {f"host{i:03}" for i in range(90)}
+    total = sum(r.tokens for r in small)
+    of = lambda h: sum(r.tokens * r.p for r in small if r.source_cell == h)
+    # host003 has 8 of 8,190 tokens: its target caps it at probability 1, the others share the rest
+    assert of("host003") == 8 and abs(sum(r.tokens * r.p for r in small) - 0.2 * total) < 1e-3
+    assert abs(of("host080") / of("host040") - 81 / 41) < 0.01
+    monkeypatch.setattr(mixing, "CELLS", 0)  # the same on tables
+    assert all(a[:5] == b[:5] and abs(a.p - b.p) < 1e-6 for a, b in zip(small, report(), strict=True))
+
+
 def test_mixture_meets_its_budget(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = mixing.mix_report(d, budget=0.5).collect()
