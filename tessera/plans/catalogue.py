@@ -294,8 +294,8 @@ def enrich_chunks(s, d):
 
 
 def headed(s: SparkSession, d: str) -> DataFrame:
-    """Every fourth line as a header, of levels 1 to 3 in turn."""
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 4 == 0, F.concat(F.repeat(F.lit("#"), (F.floor(i / 4) % 3 + 1).cast("int")), F.lit(" "), F.left(x, F.lit(20)))).otherwise(x))
+    """Every fourth line, whole, as a header, of levels 1 to 3 in turn."""
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 4 == 0, F.concat(F.repeat(F.lit("#"), (F.floor(i / 4) % 3 + 1).cast("int")), F.lit(" "), x)).otherwise(x))
     return documents(s, d).select("doc_id", F.array_join(lines, "\n").alias("text"))
 
 

@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,9 +7,12 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions import url as U
 from tessera.operators import chunk, enrich, evaluate, graph, html, legal, prompt, report, rerank, store
+from tessera.plans import catalogue
 from tessera.sources import manifest, pages, pdf, sinks
 from tessera.streaming import changes
 
+DIR = "/root/testdata/sf0.001"
+
 
 def one(spark, value, f):
     return spark.createDataFrame([(value,)], "x string").select(f(F.col("x"))).first()[0]
@@ -179,3 +183,9 @@ def test_window_stream_equals_batch(spark, tmp_path):
 def test_access(spark):
     rows = spark.createDataFrame([(True, False, False, False, False, None), (True, True, False, True, True, False)], "active boolean, requires_permission boolean, include_inactive boolean, authorized_mode boolean, robots_override boolean, robots_allowed boolean")
     assert [r.can_fetch for r in report.access(rows).collect()] == [True, True]
+
+
+def test_headed_documents_are_whole(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    rows = catalogue.headed(spark, DIR).join(docs.select("doc_id", F.col("text").alias("t")), "doc_id").collect()
+    assert all([re.sub(r"^#{1,3} ", "", x) if i % 4 == 0 else x for i, x in enumerate(r.text.split("\n"))] == [re.sub(r"^#{1,3} ", "", x) if i % 4 == 0 else x for i, x in enumerate(r.t.split("\n"))] for r in rows)
