@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions import url as U
-from tessera.operators import chunk, enrich, evaluate, graph, html, legal, prompt, report, rerank, store
+from tessera.operators import chunk, enrich, evaluate, graph, html, legal, prompt, rank, report, rerank, store
 from tessera.plans import catalogue
 from tessera.sources import manifest, pages, pdf, sinks
 from tessera.streaming import changes
@@ -189,3 +189,12 @@ def test_headed_documents_are_whole(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     rows = catalogue.headed(spark, DIR).join(docs.select("doc_id", F.col("text").alias("t")), "doc_id").collect()
     assert all([re.sub(r"^#{1,3} ", "", x) if i % 4 == 0 else x for i, x in enumerate(r.text.split("\n"))] == [re.sub(r"^#{1,3} ", "", x) if i % 4 == 0 else x for i, x in enumerate(r.t.split("\n"))] for r in rows)
+
+
+def test_vector_queries_grow_with_the_table(spark):
+    ids = {r.vec_id for r in spark.read.parquet(f"{DIR}/embeddings.parquet").where("vec_id % 100 = 0").collect()}
+    assert {r.query_id for r in catalogue.vector_mmr(spark, DIR).collect()} == ids
+    vectors = spark.read.parquet(f"{DIR}/embeddings.parquet")
+    q = catalogue.every_hundredth(spark, DIR)
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(rank.nearest_in_blocks(vectors, q, k=5, block=2)) == key(rank.nearest(vectors, q, k=5))
