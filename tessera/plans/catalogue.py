@@ -141,27 +141,34 @@ ASKED = (
     (1, "AKTS ne demektir?"), (2, "Tez izleme komitesi nasıl oluşturulur?"), (3, "Yönetmeliğin amacı nedir?"), (4, "Doktora yeterlik sınavı ne zaman yapılır?"),
     (5, "Fen Fakültesi staj AKTS kaç kredi?"), (6, "Kaç öğretim üyesi bulunur?"), (7, "Merhaba"), (8, "ALES ve YÖK %C3%96%C4%9ER kimdir?"),
 )
-ARTICLES = (
-    (1, "AKTS: Avrupa Kredi Transfer Sistemini ifade eder.", "4", "Tanımlar", "Lisansüstü Eğitim Yönetmeliği", "https://x.example.edu/lisansustu-yonetmelik.pdf"),
-    (2, "Tez izleme komitesi üç öğretim üyesinden oluşur.", "44", "Tez izleme komitesi", "Lisansüstü Eğitim Yönetmeliği", "https://x.example.edu/a.pdf"),
-    (3, "Bu Yönetmeliğin amacı esasları belirlemektir.", "1", "Amaç", "Yönerge", "https://x.example.edu/b.pdf"),
-    (4, "Doktora yeterlik sınavı yılda iki kez yapılır.", "43", "Doktora yeterlik sınavı", "Lisansüstü Eğitim Yönetmeliği", "https://x.example.edu/c.pdf"),
-    (5, "Staj 10 AKTS kredidir.", "7", "Staj", "Fen Fakültesi Staj Yönergesi", "https://x.example.edu/d.pdf"),
-    (6, "", None, "Yatay geçiş", None, None),
-)
+
 
 def asked(s: SparkSession) -> DataFrame:
     return s.createDataFrame(ASKED, "q long, question string")
 
 
-def scored(s: SparkSession) -> DataFrame:
-    arts = s.createDataFrame(ARTICLES, "a long, content string, article_no string, article_title string, title string, source string")
-    return rerank.score_rows(asked(s).crossJoin(F.broadcast(arts)).withColumn("base", F.lit(0.0)))
+def scored(s: SparkSession, d: str) -> DataFrame:
+    """The articles of the documents that BM25 finds for each question, from the document's score up."""
+    hits = bm25_topk(s, d).select(F.col("query_id").alias("q"), "doc_id", F.col("score").alias("base"))
+    found = articled(s, d).join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
+    arts = legal.split_articles(found).select("doc_id", "seq", "article_no", "article_title", "content")
+    named = arts.join(found.select("doc_id", "source", F.col("source").alias("title")), "doc_id")
+    return rerank.score_rows(hits.join(named, "doc_id").join(questions(s, d).withColumnRenamed("query_id", "q"), "q"))
 
 
 @query()
 def rerank_rules(s, d):
-    return scored(s).select("q", "a", "intent", "rerank_score", "strong_match", F.array_join(F.transform("explanation", lambda e: e["reason"]), ",").alias("reasons"))
+    return scored(s, d).select("q", "doc_id", "seq", "intent", "rerank_score", "strong_match", F.array_join(F.transform("explanation", lambda e: e["reason"]), ",").alias("reasons"))
+
+
+@query()
+def query_intent_whole(s, d):
+    return questions(s, d).select("query_id", rerank.intent(F.col("question")).alias("intent"))
+
+
+@query()
+def acronyms_whole(s, d):
+    return questions(s, d).select("query_id", F.array_join(rerank.acronyms(F.col("question")), ",").alias("acronyms"))
 
 
 @query("SELECT * FROM (VALUES (1, 'definition'), (2, 'procedure'), (3, 'purpose'), (4, 'deadline'), (5, 'fact'), (6, 'fact'), (7, 'general'), (8, 'fact')) t(q, intent)")

@@ -198,3 +198,25 @@ def test_vector_queries_grow_with_the_table(spark):
     q = catalogue.every_hundredth(spark, DIR)
     key = lambda df: sorted(map(tuple, df.collect()))
     assert key(rank.nearest_in_blocks(vectors, q, k=5, block=2)) == key(rank.nearest(vectors, q, k=5))
+
+
+def test_rules_run_over_the_tables(spark):
+    items = {r.item_id for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()}
+    rows = catalogue.rerank_rules(spark, DIR).collect()
+    hits = {(r.query_id, r.doc_id) for r in catalogue.bm25_topk(spark, DIR).collect()}
+    assert {(r.q, r.doc_id) for r in rows} <= hits and len({r.doc_id for r in rows}) > 6 and len(rows) > len(hits)
+    for made in (catalogue.query_intent_whole(spark, DIR), catalogue.acronyms_whole(spark, DIR)):
+        assert {r.query_id for r in made.collect()} == items
+
+
+def test_rules_over_stated_articles(spark):
+    arts = [
+        (1, "AKTS: Avrupa Kredi Transfer Sistemini ifade eder.", "4", "Tanımlar", "Lisansüstü Eğitim Yönetmeliği", "https://x.example.edu/lisansustu-yonetmelik.pdf"),
+        (2, "Tez izleme komitesi üç öğretim üyesinden oluşur.", "44", "Tez izleme komitesi", "Lisansüstü Eğitim Yönetmeliği", "https://x.example.edu/a.pdf"),
+        (6, "", None, "Yatay geçiş", None, None),
+    ]
+    rows = catalogue.asked(spark).crossJoin(spark.createDataFrame(arts, "a long, content string, article_no string, article_title string, title string, source string")).withColumn("base", F.lit(0.0))
+    best = {}
+    for r in rerank.score_rows(rows).collect():
+        best[r.q] = max(best.get(r.q, (-1e9, 0)), (r.rerank_score, r.a))
+    assert best[1][1] == 1 and best[2][1] == 2
