@@ -191,8 +191,13 @@ def normalize_eval(s, d):
 
 @query(f"SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest({TOKENS.format(x='text')}) AS term FROM documents) GROUP BY term HAVING count(*) >= 20")
 def tokenize_counts(s, d):
+    return tokenize_counts_whole(s, d).where("n >= 20")
+
+
+@query(f"SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest({TOKENS.format(x='text')}) AS term FROM documents) GROUP BY term")
+def tokenize_counts_whole(s, d):
     each = documents(s, d).select("doc_id", F.explode(T.tokenize(F.col("text"))).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("k"))
-    return each.groupBy("term").agg(F.sum("k").alias("n"), F.count("*").alias("docs")).where("n >= 20")
+    return each.groupBy("term").agg(F.sum("k").alias("n"), F.count("*").alias("docs"))
 
 
 STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"

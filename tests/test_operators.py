@@ -220,3 +220,8 @@ def test_rules_over_stated_articles(spark):
     for r in rerank.score_rows(rows).collect():
         best[r.q] = max(best.get(r.q, (-1e9, 0)), (r.rerank_score, r.a))
     assert best[1][1] == 1 and best[2][1] == 2
+
+
+def test_rare_terms_are_counted(spark):
+    made = catalogue.tokenize_counts_whole(spark, DIR)
+    assert made.where("n < 20").count() > 0 and made.where("n = 1").count() > 0
