@@ -22,12 +22,19 @@ def depths(edges: DataFrame, seeds: DataFrame, *, max_depth: int) -> DataFrame:
     return seen
 
 
-def crawl(edges: DataFrame, seeds: DataFrame, fetchable: DataFrame, *, domains: list[str], max_depth: int, max_pages: int, done: DataFrame | None = None, home: str | None = None) -> DataFrame:
+def robots_gate(rows: DataFrame, robots: DataFrame) -> DataFrame:
+    """``rows`` (url, ...) with allowed by robots(host, allowed); hosts that are missing or null there are blocked."""
+    known = robots.groupBy(F.lower("host").alias("_host")).agg(F.min(F.coalesce("allowed", F.lit(False))).alias("_allowed"))
+    return rows.withColumn("_host", U.host(F.col("url"))).join(known, "_host", "left").withColumn("allowed", F.coalesce("_allowed", F.lit(False))).drop("_host", "_allowed")
+
+
+def crawl(edges: DataFrame, seeds: DataFrame, fetchable: DataFrame, *, domains: list[str], max_depth: int, max_pages: int, done: DataFrame | None = None, home: str | None = None, robots: DataFrame | None = None) -> DataFrame:
     """(url, depth, outcome, visit) of a crawl with a page budget.
 
     Outcomes: page, failed (not in ``fetchable``), document, known (in
     ``done``: reported, not expanded), out_of_domain, excluded, skipped,
-    budget. Pages and failures draw on the budget in the order of visits:
+    robots_blocked (pages and documents of hosts that ``robots``, if given,
+    doesn't allow), budget. Pages and failures draw on the budget in the order of visits:
     parent's visit, then priority, then URL. Documents are kept one level past
     max_depth; every URL is looked at once, before the filters.
     """
@@ -45,6 +52,8 @@ def crawl(edges: DataFrame, seeds: DataFrame, fetchable: DataFrame, *, domains:
         new = new.withColumn("kind", kind).withColumn("score", U.priority(u)).where(F.lit(d <= max_depth) | (F.col("kind") == "document"))
         if done is not None:
             new = new.join(done.select("url").withColumn("was", F.lit(True)), "url", "left").withColumn("kind", F.when((F.col("kind") == "page") & F.col("was"), "known").otherwise(F.col("kind"))).drop("was")
+        if robots is not None:
+            new = robots_gate(new, robots).withColumn("kind", F.when(F.col("kind").isin("page", "document") & ~F.col("allowed"), "robots_blocked").otherwise(F.col("kind"))).drop("allowed")
         new = new.join(fetchable.select("url").distinct().withColumn("ok", F.lit(True)), "url", "left")
         charged = (F.col("kind") == "page").cast("int")
         # the budget bounds what the order decides: beyond it rows only get the outcome "budget"
@@ -64,5 +73,5 @@ def crawl(edges: DataFrame, seeds: DataFrame, fetchable: DataFrame, *, domains:
 
 def crawl_counters(visited: DataFrame) -> DataFrame:
     """Counts per outcome of a crawl."""
-    names = ("page", "failed", "document", "known", "out_of_domain", "excluded", "skipped", "budget")
+    names = ("page", "failed", "document", "known", "out_of_domain", "excluded", "skipped", "robots_blocked", "budget")
     return visited.agg(F.count("*").alias("urls"), *(F.count_if(F.col("outcome") == n).alias(n) for n in names))

@@ -15,6 +15,8 @@ import time
 import urllib.error
 import urllib.request
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
@@ -50,6 +52,18 @@ class HttpPagesReader(DataSourceReader):
             yield (url, *fetch(url, self.attempts, self.backoff, self.timeout))
 
 
+def scan(urls: DataFrame, robots: DataFrame, **options) -> DataFrame:
+    """Pages of the URLs whose host robots(host, allowed) allows; the others are rows with the error robots_blocked."""
+    from tessera.operators.graph import robots_gate
+
+    spark = urls.sparkSession
+    spark.dataSource.register(HttpPages)
+    gated = robots_gate(urls.select("url").distinct(), robots)
+    wanted = [r.url for r in gated.where("allowed").collect()]
+    read = spark.read.format("http_pages").option("urls", json.dumps(wanted)).options(**options).load()
+    return read.unionByName(gated.where("NOT allowed").select("url", F.lit(None).cast("int").alias("status"), F.lit(None).cast("string").alias("html"), F.lit("robots_blocked").alias("error")))
+
+
 def fetch(url: str, attempts: int, backoff: float, timeout: float) -> tuple[int | None, str | None, str | None]:
     """(status, text, error) after at most ``attempts`` tries; other faults than network ones fail at once."""
     error = "not tried"

@@ -225,3 +225,14 @@ def test_rules_over_stated_articles(spark):
 def test_rare_terms_are_counted(spark):
     made = catalogue.tokenize_counts_whole(spark, DIR)
     assert made.where("n < 20").count() > 0 and made.where("n = 1").count() > 0
+
+
+def test_robots_block_outside_the_budget(spark):
+    e = spark.createDataFrame([("http://a.com/s", f"http://{h}/{p}") for h, p in (("no.a.com", "1"), ("no.a.com", "d.pdf"), ("un.a.com", "2"), ("a.com", "3"))] + [("http://no.a.com/1", "http://a.com/x")], "src string, dst string")
+    seeds = spark.createDataFrame([("http://a.com/s",)], "url string")
+    robots = spark.createDataFrame([("a.com", True), ("no.a.com", False), ("null.a.com", None)], "host string, allowed boolean")
+    ok = e.select(F.col("dst").alias("url")).union(seeds)
+    rows = {r.url: r.outcome for r in graph.crawl(e, seeds, ok, domains=["a.com"], max_depth=3, max_pages=2, robots=robots).collect()}
+    assert rows == {"http://a.com/s": "page", "http://a.com/3": "page", "http://no.a.com/1": "robots_blocked", "http://no.a.com/d.pdf": "robots_blocked", "http://un.a.com/2": "robots_blocked"}
+    urls = spark.createDataFrame([("http://no.a.com/1",), ("http://null.a.com/1",), ("http://un.a.com/1",)], "url string")
+    assert {r.url: r.error for r in pages.scan(urls, robots).collect()} == {r.url: "robots_blocked" for r in urls.collect()}
