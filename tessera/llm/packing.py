@@ -12,6 +12,7 @@ is spread over many tasks.
 from __future__ import annotations
 
 import bisect
+import itertools
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -20,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.storage import materialize
+from tessera.storage import map_arrow, materialize
 
-#: Distinct chunks whose ids a worker remembers (about 200 MB).
-CACHE_CHUNKS = 800_000
+#: Distinct chunks whose ids a worker remembers during a task, and from one task to the next (about 60 and 10 MB).
+CACHE_CHUNKS, KEPT_CHUNKS = 400_000, 60_000
 MARKS = ".,!?;:"
 #: Sub-groups into which the pieces of one length are dealt at most.
 MAX_SALTS = 8192
+#: Steps that the search may take (some seconds), of them for one enumeration of fillings, and fillings kept of each.
+STEPS, FILLING_STEPS, FILLINGS = 1_000_000, 2_000, 8
 
 
 def _byte_letters() -> list[str]:
@@ -43,7 +46,9 @@ class ChunkIds(dict):
     normaliser composes nothing with a blank, so a text's ids are those of its
     runs, joined. A run of letters is one word to the pattern and so are marks
     that follow it, so words are kept apart from them, in lower case, and go
-    to the merge rules directly; anything else takes the whole tokenizer.
+    to the merge rules directly. Anything else takes the whole tokenizer, and
+    so does a word that isn't all letters in lower case (a capital I with dot
+    becomes two characters, the second of which goes with the marks).
     """
 
     def __init__(self, tokenizer):
@@ -55,14 +60,15 @@ class ChunkIds(dict):
 
     def __missing__(self, chunk: str) -> bytes:
         stem = chunk.rstrip(MARKS)
-        word = stem.isalpha() and unicodedata.is_normalized("NFC", stem)
-        if word:
-            if len(stem) < len(chunk):
-                return self[stem] + self[chunk[len(stem) :]]
+        word = False
+        if stem.isalpha() and "Σ" not in stem and unicodedata.is_normalized("NFC", stem):
             low = stem.lower()
-            if low != stem and low.isalpha() and "Σ" not in stem and unicodedata.is_normalized("NFC", low):
-                return self[low]
-            word = low == stem
+            if low.isalpha() and unicodedata.is_normalized("NFC", low):
+                if len(stem) < len(chunk):
+                    return self[stem] + self[chunk[len(stem) :]]
+                if low != stem:
+                    return self[low]
+                word = True
         if len(self) >= CACHE_CHUNKS:
             self.clear()
         if word:
@@ -88,53 +94,90 @@ def memo_of(path: str) -> ChunkIds:
     return _memos[path]
 
 
+def shrink_memo(path: str) -> None:
+    """Keep only the chunks met first, the frequent ones, so that an idle worker holds little."""
+    memo = _memos.get(path)
+    if memo is not None and len(memo) > KEPT_CHUNKS:
+        first = list(itertools.islice(memo.items(), KEPT_CHUNKS))
+        memo.clear()
+        memo.update(first)
+
+
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, end, step = memo_of(path), end_id.to_bytes(4, "little"), 4 * capacity
-        for batch in batches:
-            keys, piece, start, length, crc = [], [], [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = b"".join(map(memo.__getitem__, (text.as_py() or "").replace("\n", " ").split(" "))) + end
-                for k, at in enumerate(range(0, len(data), step)):
-                    part = data[at : at + step]
-                    keys.append(key), piece.append(k), start.append(at // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                ["doc_id", "piece", "start", "length", "ids_crc32"],
-            )
+        try:
+            for batch in batches:
+                keys, piece, start, length, crc = [], [], [], [], []
+                for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    data = b"".join(map(memo.__getitem__, (text.as_py() or "").replace("\n", " ").split(" "))) + end
+                    for k, at in enumerate(range(0, len(data), step)):
+                        part = data[at : at + step]
+                        keys.append(key), piece.append(k), start.append(at // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+                    ["doc_id", "piece", "start", "length", "ids_crc32"],
+                )
+        finally:
+            shrink_memo(path)
 
     return run
 
 
-def fillings(room: int, lengths: list[int], counts: dict[int, int], want: int, nodes: int) -> list[tuple[int, tuple[int, ...]]]:
-    """Up to ``want`` undominated fillings of ``room`` as (waste, lengths), least waste first.
+def _bettered(filling: tuple[int, ...], spare: int, lengths: list[int], left: dict[int, int]) -> bool:
+    """Whether one longer available piece could take the place of a member, or of all, without more waste.
+
+    Such a filling is dominated (Martello and Toth): the members that leave fit
+    wherever the longer piece would have gone, together.
+    """
+    for s, k in {(x, 1) for x in filling} | {(sum(filling), len(filling))}:
+        i = bisect.bisect_left(lengths, s if k > 1 else s + 1)
+        while i < len(lengths) and lengths[i] <= s + spare:
+            if left[lengths[i]] > 0:
+                return True
+            i += 1
+    return False
+
+
+def fillings(room: int, lengths: list[int], counts: dict[int, int], allowed: int, want: int = FILLINGS, steps: int = FILLING_STEPS) -> tuple[list[tuple[int, tuple[int, ...]]], int, bool]:
+    """Undominated fillings of ``room`` as (waste, lengths), least waste first; the steps taken; whether these are all.
 
     Depth first over non-increasing lengths, the largest fitting first. A
-    branch is cut when even its best end leaves more waste than the worst
-    filling kept; a filling to which a further piece could be added is
-    dominated by that one and not kept.
+    branch is cut when even all pieces that it may still take leave more than
+    ``allowed`` waste, or when one piece as long as two of its members together
+    could replace them. A filling to which a further piece could be added, or
+    in which a longer one could replace some, is dominated and not kept. The
+    enumeration ends early, and says so, after ``steps`` steps or at ``want``
+    fillings.
     """
-    found: list[tuple[int, int, tuple[int, ...]]] = []
-    budget, least = [nodes], lengths[0] if lengths else 0
-
-    def visit(left: int, top: int, chosen: tuple[int, ...]) -> bool:
-        budget[0] -= 1
-        i = bisect.bisect_right(lengths, min(left, top)) - 1
-        extended = False
-        while i >= 0 and budget[0] > 0:
+    if counts.get(room, 0) > 0:  # one piece that fills it dominates all others
+        return [(0, (room,))], 1, True
+    found: list[tuple[int, tuple[int, ...]]] = []
+    below = [0, *itertools.accumulate(x * counts[x] for x in lengths)]  # all that the shorter lengths hold
+    left = dict(counts)
+    taken, whole = 0, True
+
+    def visit(rest: int, i: int, chosen: tuple[int, ...]) -> None:
+        nonlocal taken, whole
+        i = min(i, bisect.bisect_right(lengths, rest) - 1)
+        if rest - min(rest, below[i + 1]) > allowed:
+            return
+        if all(left[x] <= 0 for x in itertools.takewhile(rest.__ge__, lengths)) and not _bettered(chosen, rest, lengths, left):
+            found.append((rest, chosen))
+        while i >= 0 and rest:
+            if taken >= steps or len(found) >= want:
+                whole = False
+                return
+            taken += 1 + len(chosen)
             x = lengths[i]
-            if counts[x] > chosen.count(x):
-                extended = True
-                if visit(left - x, x, (*chosen, x)):
-                    return True
+            if left[x] > 0 and not any(left.get(x + y, 0) > 0 for y in set(chosen)):
+                left[x] -= 1
+                visit(rest - x, i, (*chosen, x))
+                left[x] += 1
             i -= 1
-        if not extended and (left < least or bisect.bisect_right(lengths, left) == 0 or all(counts[y] <= chosen.count(y) for y in lengths[: bisect.bisect_right(lengths, left)])):
-            bisect.insort(found, (left, len(chosen), chosen))
-            del found[want:]
-        return len(found) >= want and found[-1][0] == 0
 
-    visit(room, room, ())
-    return [(w, c) for w, _, c in found]
+    visit(room, len(lengths) - 1, ())
+    return sorted(found, key=lambda f: (f[0], len(f[1]))), taken, whole
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -173,49 +216,100 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int,
     return [(p, n) for ps in open_.values() for p, n in ps.items()]
 
 
-def complete_bins(histogram: dict[int, int], capacity: int, retries: int = 3) -> list[tuple[tuple[int, ...], int]]:
-    """(pattern, number of sequences) over all pieces: branch and bound on bin completions.
+def lower_bound(histogram: dict[int, int], capacity: int) -> int:
+    """Sequences that any packing needs (Martello and Toth's L2).
 
-    The largest length left is completed by its undominated fillings, the least
-    waste first, and each choice is repeated while its pieces last. The lower
-    bound is the total length over the capacity (and the number of pieces over
-    half of it). A branch whose waste already exceeds what the incumbent
-    allows is cut; the search returns at the bound, else after ``retries``
-    descents that deviate from the first choice at ever later depths, with the
-    best plan found (best-fit decreasing included).
+    For each k, pieces of more than half the capacity open a sequence each, and
+    only those of at most capacity - k have room for the pieces from k to half.
+    """
+    lengths = sorted(histogram)
+    counts, sums = ([0, *itertools.accumulate(f(x) for x in lengths)] for f in (histogram.get, lambda x: x * histogram[x]))
+    half = bisect.bisect_right(lengths, capacity // 2)
+    over, best = counts[-1] - counts[half], -(-sums[-1] // capacity)
+    for i, k in enumerate([*lengths[:half], capacity // 2 + 1]):
+        fits = bisect.bisect_right(lengths, capacity - k)
+        room = (counts[fits] - counts[half]) * capacity - (sums[fits] - sums[half]) if fits > half else 0
+        best = max(best, over + max(0, -(-(sums[half] - sums[i] - room) // capacity)))
+    return best
+
+
+def complete_bins(histogram: dict[int, int], capacity: int, steps: int = STEPS) -> tuple[list[tuple[tuple[int, ...], int]], bool]:
+    """(pattern, number of sequences) over all pieces, and whether no packing takes fewer sequences.
+
+    Branch and bound on bin completions. Best-fit decreasing is the first
+    incumbent. Around the largest length left, its undominated fillings are
+    tried, the least waste first, each for as many sequences as its pieces
+    last, then for half of them, then for one; then the search goes on with
+    what is left, and comes back for the next choice. A branch is cut when its
+    waste exceeds what a plan better than the incumbent may have, or when its
+    sequences and the bound of what is left reach the incumbent. It ends when
+    the incumbent meets the lower bound or all branches are done (then nothing
+    is better), or after ``steps`` steps with the best plan found.
     """
     histogram = {x: n for x, n in histogram.items() if n > 0}
     total = sum(x * n for x, n in histogram.items())
-    bound = max(-(-total // capacity), sum(n for x, n in histogram.items() if 2 * x > capacity))
+    bound = lower_bound(histogram, capacity) if histogram else 0
     best = best_fit(histogram, capacity)
     size = sum(n for _, n in best)
-    for turn in range(retries):
-        if size <= bound:
-            break
-        allowed = (size - 1) * capacity - total  # waste that a better plan may have
-        counts, lengths, plan, waste, depth = dict(histogram), sorted(histogram), [], 0, 0
-        while lengths and waste <= allowed:
-            top = lengths[-1]
-            counts[top] -= 1
-            options = fillings(capacity - top, lengths, counts, 1 + turn, 2000) or [(capacity - top, ())]
-            counts[top] += 1
-            spare, rest = options[min(turn, len(options) - 1) if depth < turn else 0]
-            pattern = (top, *rest)
-            times = min(counts[x] // pattern.count(x) for x in set(pattern))
-            if times > 4 and spare:  # part of them now: later lengths may complete the others better
-                times = max(1, times // 2)
-            for x in set(pattern):
-                counts[x] -= times * pattern.count(x)
-                if not counts[x]:
-                    del counts[x]
-                    lengths.pop(bisect.bisect_left(lengths, x))
-            plan.append((pattern, times))
-            waste += times * (capacity - sum(pattern))
-            depth += 1
-        n = sum(t for _, t in plan)
-        if not lengths and n < size:
-            best, size = plan, n
-    return best
+    counts, lengths, path = dict(histogram), sorted(histogram), []
+    used, rest, whole = 0, total, True
+
+    def take(pattern: tuple[int, ...], times: int) -> None:
+        nonlocal used, rest
+        for x in set(pattern):
+            before = counts[x]
+            counts[x] -= times * pattern.count(x)
+            if not counts[x]:
+                lengths.pop(bisect.bisect_left(lengths, x))
+            elif not before:
+                bisect.insort(lengths, x)
+        used += times
+        rest -= times * sum(pattern)
+
+    def choices() -> Iterator[tuple[tuple[int, ...], int]]:
+        nonlocal steps, whole
+        top = lengths[-1]
+        allowed = (size - 1) * capacity - total - (used * capacity - (total - rest))
+        if allowed < 0:
+            return
+        counts[top] -= 1
+        own = lengths if counts[top] else lengths[:-1]
+        found, taken, all_ = fillings(capacity - top, own, counts, allowed, steps=min(FILLING_STEPS, max(steps, 1)))
+        counts[top] += 1
+        steps -= taken
+        whole &= all_
+        often = []
+        for spare, filling in found:
+            pattern = (top, *filling)
+            most = min(counts[x] // pattern.count(x) for x in set(pattern))
+            first = most if spare == 0 else -(-most // 2)  # later lengths may complete the others better
+            often.append((pattern, most, first))
+            yield pattern, first
+        for pattern, most, first in often:
+            for times in sorted({most, -(-most // 2), 1} - {first}, reverse=True):
+                yield pattern, times
+
+    stack = [choices()] if size > bound else []
+    while stack and size > bound and steps > 0:
+        choice = next(stack[-1], None)
+        if choice is None:
+            stack.pop()
+            if path:
+                pattern, times = path.pop()
+                take(pattern, -times)
+            continue
+        take(*choice)
+        path.append(choice)
+        steps -= 1
+        if not lengths:
+            if used < size:
+                best, size = list(path), used
+        elif used + -(-rest // capacity) < size:
+            stack.append(choices())
+            continue
+        path.pop()
+        take(choice[0], -choice[1])
+    return best, size <= bound or (whole and not stack)
 
 
 def places(plan: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[list[int], list[tuple[int, int, int]]]]:
@@ -253,11 +347,13 @@ def _place(where: dict):
 
 
 def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, fewest.
 
     A document is its token ids, then ``end_id``. Longer ones than
     ``capacity`` are cut into pieces of that many tokens, the last shorter.
     Sequences hold at most ``capacity`` tokens, gapless from offset 0.
+    ``fewest`` (the same in all rows) says that no packing of these pieces
+    takes fewer sequences; false means that it isn't known.
 
     Null and empty texts give one piece that holds ``end_id`` alone. Repeated
     rows are packed each; a null id stays null. Other columns are ignored,
@@ -265,9 +361,9 @@ def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, end_id:
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    pieces = materialize(source.mapInArrow(_pieces(tokenizer_path, capacity, end_id), schema), "pieces")
+    pieces = materialize(map_arrow(source, _pieces(tokenizer_path, capacity, end_id), schema), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
-    plan = places(complete_bins(histogram, capacity))
+    plan, fewest = complete_bins(histogram, capacity)
 
     spark = docs.sparkSession
     salts = spark.createDataFrame([(x, max(1, min(MAX_SALTS, n // 64))) for x, n in histogram.items()], "length long, salts int")
@@ -276,4 +372,5 @@ def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, end_id:
     base = dealt.groupBy("length", "salt").agg(F.count("*").alias("n")).select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = dealt.withColumn("own", F.row_number().over(own) - 1).join(base, ["length", "salt"]).withColumn("rank", F.col("own") + F.col("base"))
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(_place(plan), schema + ", sequence_id long, offset long")
+    sent = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
+    return map_arrow(sent, _place(places(plan)), schema + ", sequence_id long, offset long").withColumn("fewest", F.lit(fewest))

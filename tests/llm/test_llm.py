@@ -110,15 +110,61 @@ def test_bin_completion_beats_or_equals_best_fit():
         h = defaultdict(int)
         for _ in range(n):
             h[min(256, max(1, int(r.lognormvariate(4, 1))))] += 1
-        plan = packing.complete_bins(dict(h), 256)
+        plan, _ = packing.complete_bins(dict(h), 256)
         used = defaultdict(int)
         for pattern, times in plan:
             assert sum(pattern) <= 256
             for x in pattern:
                 used[x] += times
         assert used == h and sum(t for _, t in plan) <= sum(t for _, t in packing.best_fit(dict(h), 256))
-    assert packing.complete_bins({}, 8) == []
-    assert sum(t for _, t in packing.complete_bins({6: 3, 5: 3, 4: 3, 3: 3}, 9)) == 6
+    assert packing.complete_bins({}, 8) == ([], True)
+    assert sum(t for _, t in packing.complete_bins({6: 3, 5: 3, 4: 3, 3: 3}, 9)[0]) == 6
+
+
+def fewest_bins(items, capacity):
+    best = [len(items)]
+
+    def place(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(rooms)
+            return
+        for k in {room: k for k, room in enumerate(rooms) if room >= items[i]}.values():
+            rooms[k] -= items[i]
+            place(i + 1, rooms)
+            rooms[k] += items[i]
+        place(i + 1, [*rooms, capacity - items[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_bin_completion_finds_the_fewest():
+    r, late = random.Random(1), 0
+    for turn in range(600):
+        capacity = r.choice((20, 50, 100))
+        low, high = (1, capacity) if turn % 2 else (capacity // 5, capacity // 2)
+        items = sorted((r.randint(low, high) for _ in range(r.randint(1, 11))), reverse=True)
+        h = dict(zip(*np.unique(items, return_counts=True), strict=True))
+        h = {int(x): int(n) for x, n in h.items()}
+        plan, fewest = packing.complete_bins(h, capacity)
+        want = fewest_bins(items, capacity)
+        assert fewest and sum(t for _, t in plan) == want >= packing.lower_bound(h, capacity)
+        late += sum(t for _, t in packing.best_fit(h, capacity)) > want
+    assert late  # best-fit decreasing alone doesn't
+
+
+def test_chunk_ids_equal_the_whole_tokenizer():
+    from tokenizers import Tokenizer
+
+    t, r = Tokenizer.from_file(queries.tokenizer_path()), random.Random(5)
+    memo = packing.ChunkIds(t)
+    pool = [*"abcXYZ.,!?;: \n\t'\"-0129", "İ", "ı", "ß", "Σ", "ς", "é", "E\u0301", "\u0307", "ǅ", "ﬁ", "Ⅷ", "中", "😀", "\u200d", "\xa0", "ª", "ñ", "Å", "\x00", "word", "THE", "Öl"]
+    for _ in range(30_000):
+        text = "".join(r.choice(pool) for _ in range(r.randint(0, 12)))
+        made = b"".join(map(memo.__getitem__, text.replace("\n", " ").split(" ")))
+        assert np.frombuffer(made, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 def brute_components(rows, k, percent):
