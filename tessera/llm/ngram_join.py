@@ -11,35 +11,38 @@ into fragments, and a document's set falls into one segment per fragment.
   most frequent segments of either, so lines and passages that many documents
   share bring hardly any candidates.
 * Counts. Each candidate pair's overlap is counted fragment by fragment and
-  summed per pair; the sum decides exactly.
+  summed per pair; the sum decides exactly. Before that a parity sketch (each
+  bit the parity of the shingles that fall on it) drops pairs that differ in
+  too much for certain: common shingles cancel, so the bits in which two
+  sketches differ are never more than the shingles in which the sets differ.
 * Hot groups. Equal sets are folded to one representative first. Inside a
   bucket of agreeing segments all members are compared with one pivot (a star,
   not all pairs): the member that agrees with most others over all its
   segments, which for copies of one text with edits is the text itself. Only
-  members that are still not connected are then looked at again: in crowded
-  buckets by their differences from the pivot, of which two linked sets share
-  a known part, so no link that changes a component is lost. A set has many segments, so even a
+  members that are still not connected are then looked at again, by their
+  differences from the pivot, of which two linked sets share a known part, so
+  no link that changes a component is lost. A set has many segments, so even a
   bucket with a third of all sets is a small part of the segment table; that
   table is sorted by segment and read as a stream, never held by group.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
 from tessera.llm.shingles import WordHashes, mix, shingle_set
-from tessera.storage import materialize
+from tessera.storage import map_arrow, materialize, scratch
 
 #: Fragments in which overlaps are counted.
 COUNT_FRAGMENTS = 4
-#: Members up to which an open bucket's pairs are compared directly.
-CROWD = 16
+#: 64-bit words of the sketch that travels with candidates; longer ones fold to it.
+SKETCH_WORDS = 16
 
 
 def _edges(percent: int) -> np.ndarray:
@@ -72,39 +75,36 @@ def _bands(n: int, edges: np.ndarray, percent: int) -> list[int]:
     return [band] if 100 * n // percent < edges[band + 1] else [band, band + 1]
 
 
-def _digests(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
-        for batch in batches:
-            n, d1, d2 = [], [], []
-            for text in batch.column(1):
-                h = shingle_set(text.as_py(), k, memo)
-                m = mix(h)
-                n.append(len(h))
-                d1.append(int(m.sum(dtype=np.uint64).view(np.int64)))
-                d2.append(int(np.bitwise_xor.reduce(mix(m)).view(np.int64)) if len(h) else 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())], ["id", "n", "d1", "d2"])
-
-    return run
+def _sets(k: int, percent: int):
+    """Of each text the size and digests of its set, and its segment keys by cut."""
 
-
-def _key_rows(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, edges = WordHashes(), _edges(percent)
         for batch in batches:
-            ids, keys, cuts = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            n, d1, d2, per_text, spares, per_cut, keys = [], [], [], [0], [], [0], [np.empty(0, np.int64)]
+            for text in batch.column(1):
                 h = shingle_set(text.as_py(), k, memo)
-                for band in _bands(len(h), edges, percent) if len(h) else ():
+                n.append(len(h))
+                for out, value in zip((d1, d2), _digest(h), strict=True):
+                    out.append(value)
+                for band in _bands(len(h), edges, percent) if len(h) and percent < 100 else ():
                     fragments, spare = _cut(band, edges, percent)
                     if fragments:
                         keys.append(_segment_keys(h, band, fragments).view(np.int64))
-                        ids.append(np.full(fragments, key, np.int64)), cuts.append(np.full(fragments, spare, np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids, cuts)], ["key", "id", "spare"])
+                        spares.append(spare), per_cut.append(per_cut[-1] + fragments)
+                per_text.append(len(spares))
+            lists = pa.ListArray.from_arrays(pa.array(per_cut, pa.int32()), pa.array(np.concatenate(keys)))
+            cuts = pa.ListArray.from_arrays(pa.array(per_text, pa.int32()), pa.StructArray.from_arrays([pa.array(spares, pa.int32()), lists], ["spare", "keys"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, d1, d2)), cuts], ["id", "n", "d1", "d2", "cuts"])
 
     return run
 
 
+def _digest(h: np.ndarray) -> tuple[int, int]:
+    m = mix(h)
+    return int(m.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mix(m)).view(np.int64)) if len(h) else 0
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by key those whose key occurs again; holds one batch and one row."""
     held, again = None, False  # the last row, and whether its key came before it
@@ -122,35 +122,59 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], ["key", "id", "spare"])
 
 
-def _segments(k: int):
+def sketch_of(h: np.ndarray, percent: int) -> np.ndarray:
+    """Parities of the shingles by their low bits, as int64 words: about four bits for each shingle that linked sets may differ in."""
+    words, differ = SKETCH_WORDS, 2 * len(h) * (100 - percent) // (100 + percent)
+    while 64 * words < 4 * differ:
+        words *= 2
+    odd = np.bincount((h & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _segments(k: int, percent: int):
+    """Of rows (id, text, n, d1, d2) whose text has the set n, d1, d2: its sketches and its shingles by fragment."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
-            ids, sizes, frags, offsets, parts = [], [], [], [0], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids, sizes, small, sketch, parts = [], [], [], [], []
+            want = zip(*(batch.column(c).to_pylist() for c in ("id", "n", "d1", "d2")), strict=True)
+            for (key, n, *digest), text in zip(want, batch.column("text"), strict=True):
                 h = shingle_set(text.as_py(), k, memo)
-                frag = ((h >> np.uint64(32)) * np.uint64(COUNT_FRAGMENTS)) >> np.uint64(32)
-                for f in range(COUNT_FRAGMENTS):
-                    part = h[frag == f]
-                    ids.append(key), sizes.append(len(h)), frags.append(f), parts.append(part)
-                    offsets.append(offsets[-1] + len(part))
-            flat = np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(frags, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))],
-                ["id", "n", "frag", "part"],
-            )
+                if len(h) == n and _digest(h) == tuple(digest):
+                    frag = ((h >> np.uint64(32)) * np.uint64(COUNT_FRAGMENTS)) >> np.uint64(32)
+                    s = sketch_of(h, percent)
+                    ids.append(key), sizes.append(n), sketch.append(s), small.append(np.bitwise_xor.reduce(s.reshape(-1, SKETCH_WORDS), axis=0))
+                    parts.append([h[frag == f].view(np.int64) for f in range(COUNT_FRAGMENTS)])
+            words = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(small, words), pa.array(sketch, words), pa.array(parts, pa.list_(words))], ["id", "n", "small", "sketch", "parts"])
 
     return run
 
 
+def _may_link(x: Column, y: Column, nx: Column, ny: Column, percent: int) -> Column:
+    """False only for sketches (of equal length or one twice the other) of sets that don't link."""
+
+    def folded(s: Column, other: Column) -> Column:
+        half = F.size(other)
+        return F.when(F.size(s) > half, F.zip_with(F.slice(s, 1, half), F.slice(s, half + 1, half), lambda a, b: a.bitwiseXOR(b))).otherwise(s)
+
+    differing = F.aggregate(F.zip_with(folded(x, y), folded(y, x), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + F.coalesce(b, F.lit(0)))
+    return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & (differing * (100 + percent) <= (nx + ny) * (100 - percent))
+
+
+def _by_fragment(segments: DataFrame, **names: str) -> DataFrame:
+    rows = segments.select("id", "n", F.posexplode("parts").alias("frag", "part"))
+    return rows.withColumnsRenamed(names)
+
+
 def count_overlaps(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """Of ``pairs`` (a, b) those whose Jaccard similarity is percent/100 or more."""
-    left = segments.select(F.col("id").alias("b"), "frag", F.col("n").alias("nb"), F.col("part").alias("pb"))
-    right = segments.select(F.col("id").alias("a"), "frag", F.col("n").alias("na"), F.col("part").alias("pa"))
+    left, right = (segments.select(F.col("id").alias(x), F.col("n").alias("n" + x), F.col("sketch").alias("s" + x)) for x in "ba")
+    near = pairs.join(left, "b").join(right, "a").where(_may_link(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb"), percent)).select("a", "b")
     partial = (
-        pairs.join(left, "b")
-        .join(right, ["a", "frag"])
-        .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+        near.join(_by_fragment(segments, id="b", n="nb", part="pb"), "b")
+        .join(_by_fragment(segments, id="a", n="na", part="pa"), ["a", "frag"])
         .select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).cast("long").alias("o"))
     )
     total = partial.groupBy("a", "b").agg(F.sum("o").alias("o"), F.first("na").alias("na"), F.first("nb").alias("nb"))
@@ -173,90 +197,76 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 5, percent: int = 80,
     if not 75 <= percent <= 100:
         raise ValueError("percent must be 75 to 100")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    base = materialize(source.mapInArrow(_digests(shingle), "id long, n long, d1 long, d2 long"), "sets")
-
-    sets = base.where("n > 0 AND id IS NOT NULL")
-    repeats = not sets.groupBy("id").count().where("count > 1").isEmpty()
-    if repeats:
-        sets = sets.groupBy("id").agg(F.max(F.struct("n", "d1", "d2")).alias("s")).select("id", "s.*")
     digest = ["n", "d1", "d2"]
-    classes = materialize(sets.groupBy(*digest).agg(F.min("id").alias("rep")), "classes")
-    members = base.select("id", *digest).join(classes, digest, "left")
-    if repeats:
-        members = members.drop("rep").join(sets.join(classes, digest).select("id", "rep"), "id", "left")
-
-    found = None
-    if percent < 100:
-        read = source.where(F.col("id").isNotNull())
-        if repeats:  # an id's largest text stands for it
-            read = read.join(sets.select("id", *digest), "id").mapInArrow(_chosen(shingle), "id long, text binary").dropDuplicates(["id"])
-        copies = materialize(sets.join(classes, digest).where("id <> rep").select("id").distinct(), "copies")
-        rows = read.join(copies, "id", "left_anti").mapInArrow(_key_rows(shingle, percent), "key long, id long, spare int")
-        buckets = materialize(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, id long, spare int"), "buckets")
-        if not buckets.isEmpty():
-            found = _components(buckets, read, shingle, percent)
+    schema = "id long, n long, d1 long, d2 long, cuts array<struct<spare:int,keys:array<long>>>"
+    with scratch(docs.sparkSession) as write:
+        base = write(map_arrow(source, _sets(shingle, percent), schema), "sets")
+        members = materialize(base.select("id", *digest), "members")
+        sets = base.where("n > 0 AND id IS NOT NULL")
+        repeats = not members.where("n > 0").groupBy("id").count().where("id IS NOT NULL AND count > 1").isEmpty()
+        if repeats:  # an id's largest set stands for it
+            sets = write(sets.groupBy("id").agg(F.max(F.struct(*digest, "cuts")).alias("s")).select("id", "s.*"), "largest")
+        classes = materialize(sets.groupBy(*digest).agg(F.min("id").alias("rep")), "classes")
+        found = None
+        if percent < 100:
+            copies = write(sets.join(classes, digest).where("id <> rep").select("id"), "copies")
+            cuts = sets.join(copies, "id", "left_anti").select("id", F.explode("cuts").alias("cut"))
+            rows = cuts.select(F.explode("cut.keys").alias("key"), "id", F.col("cut.spare").alias("spare"))
+            buckets = write(map_arrow(rows.repartition("key").sortWithinPartitions("key"), _shared, "key long, id long, spare int"), "buckets")
+            if not buckets.isEmpty():
+                read = source.where(F.col("id").isNotNull())
+                found = materialize(_components(buckets, read, sets.select("id", *digest), shingle, percent, write), "components")
+        if repeats:
+            owner = materialize(sets.join(classes, digest).select("id", "rep"), "owners")
+    members = members.join(owner, "id", "left") if repeats else members.join(classes, digest, "left")
     if found is not None:
         members = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("rep", F.coalesce("component", "rep"))
     return members.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("component_id"))
 
 
-def _chosen(k: int):
-    """Of rows (id, text, n, d1, d2) those whose text has the set n, d1, d2."""
-    digests = _digests(k)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = next(digests(iter([batch.select(["id", "text"])])))
-            right = np.logical_and.reduce([made.column(c).to_numpy() == batch.column(c).to_numpy() for c in ("n", "d1", "d2")])
-            yield batch.select(["id", "text"]).filter(pa.array(right))
-
-    return run
-
-
-def _components(buckets: DataFrame, source: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _components(buckets: DataFrame, source: DataFrame, sets: DataFrame, shingle: int, percent: int, write: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """(id, component) of the representatives that have links."""
     # linked sets share more than `spare` keys, so a set's `spare` most frequent ones (in one order for all) needn't be looked at
     sized = buckets.join(buckets.groupBy("key").agg(F.count("*").alias("m")), "key")
     frequent = Window.partitionBy("id", "spare").orderBy(F.desc("m"), F.desc("key"))
     few = sized.withColumn("r", F.row_number().over(frequent)).where("r > spare").select("key", "id")
     several = few.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    few = materialize(few.join(several, "key"), "few")
+    few = write(few.join(several, "key"), "few")
     central = few.groupBy("id").agg(F.sum("m").alias("score"))
-    ranked = materialize(few.join(central, "id").select("key", "id", "score"), "ranked")
-    wanted = materialize(ranked.select("id").distinct(), "wanted")
-    segments = materialize(source.join(wanted, "id", "left_semi").mapInArrow(_segments(shingle), "id long, n long, frag int, part array<long>"), "segments")
+    ranked = write(few.join(central, "id").select("key", "id", "score"), "ranked")
+    wanted = write(ranked.select("id").distinct().join(sets, "id"), "wanted")
+    made = map_arrow(source.join(wanted, "id").select("id", "text", "n", "d1", "d2"), _segments(shingle, percent), "id long, n long, small array<long>, sketch array<long>, parts array<array<long>>")
+    segments = write(made, "segments")
+    if segments.count() > wanted.count():  # ids with rows of the same set
+        segments = write(segments.dropDuplicates(["id"]), "segments")
     hubs = ranked.groupBy("key").agg(F.max(F.struct("score", F.negate("id").alias("low"))).alias("h")).select("key", F.negate("h.low").alias("a"))
-    hubbed = materialize(ranked.join(hubs, "key"), "hubbed")
-    tried = materialize(hubbed.where("id <> a").select(F.greatest("id", "a").alias("b"), F.least("id", "a").alias("a")).distinct(), "stars")
-    links = materialize(count_overlaps(tried, segments, percent), "links")
-    found = materialize(connected_components(links), "components")
-    open_ = materialize(_unsettled(hubbed, found), "open")
+    hubbed = write(ranked.join(hubs, "key"), "hubbed")
+    tried = write(hubbed.where("id <> a").select(F.greatest("id", "a").alias("b"), F.least("id", "a").alias("a")).distinct(), "stars")
+    links = write(count_overlaps(tried, segments, percent), "links")
+    found = write(connected_components(links, write=write), "components")
+    open_ = write(_unsettled(hubbed, found), "open")
     if open_.isEmpty():
         return found
-    crowded = open_.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > CROWD).select("key")
-    small = open_.join(crowded, "key", "left_anti")
-    one, other = small.select("key", F.col("id").alias("a"), F.col("label").alias("la")), small.select("key", F.col("id").alias("b"), F.col("label").alias("lb"))
-    pairs = one.join(other, "key").where("a < b AND la <> lb").select("a", "b")
-    pairs = pairs.unionByName(_by_difference(open_.join(crowded, "key", "left_semi"), segments, percent)).distinct()
-    pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti").select("b", "a"), "pairs")
-    new = materialize(count_overlaps(pairs, segments, percent), "links")
-    return found if new.isEmpty() else materialize(connected_components(links.unionByName(new)), "components")
+    pairs = _by_difference(open_, segments, percent, write).distinct()
+    pairs = write(pairs.join(tried, ["a", "b"], "left_anti").select("b", "a"), "pairs")
+    new = write(count_overlaps(pairs, segments, percent), "links")
+    return found if new.isEmpty() else connected_components(links.unionByName(new), write=write)
 
 
-def _by_difference(members: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a < b) among members of crowded buckets, from how they differ from the bucket's hub.
+def _by_difference(members: DataFrame, segments: DataFrame, percent: int, write: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Candidate pairs (a < b) among members of open buckets, from how they differ from the bucket's hub.
 
     With d(x) the shingles in which x and the hub h differ, sets x and z differ
     in |d(x)| + |d(z)| - 2|d(x) & d(z)|. If both link with h they are connected
     already. Otherwise a link needs so many common differences that a prefix of
     d(x), rarest first, must meet one of d(z): lower bounds of that number give
     the prefix lengths, apart for pairs of which neither or one links with h.
+    Pairs that meet and whose sketches differ in too much are dropped at once.
     """
     stars = members.where("id <> a").select(F.col("a").alias("hub"), "id", "label").distinct()
-    x = segments.select("id", "frag", F.col("n").alias("n"), F.col("part").alias("px"))
-    h = segments.select(F.col("id").alias("hub"), "frag", F.col("n").alias("nh"), F.col("part").alias("ph"))
+    x, h = _by_fragment(segments, part="px"), _by_fragment(segments, id="hub", n="nh", part="ph")
     parts = stars.join(x, "id").join(h, ["hub", "frag"]).select("hub", "id", "label", "n", "nh", F.concat(F.array_except("px", "ph"), F.array_except("ph", "px")).alias("d"))
-    whole = materialize(parts.groupBy("hub", "id", "label", "n", "nh").agg(F.flatten(F.collect_list("d")).alias("d")), "differences")
+    whole = write(parts.groupBy("hub", "id", "label", "n", "nh").agg(F.flatten(F.collect_list("d")).alias("d")), "differences")  # a row for each fragment
     r = (100 - percent) / (100 + percent)
     size, near = F.size("d"), F.lit(r) * (F.col("n") + F.col("nh"))
     at_least = lambda c: F.greatest(F.lit(1), F.ceil(c - 1e-9).cast("int"))
@@ -269,10 +279,12 @@ def _by_difference(members: DataFrame, segments: DataFrame, percent: int) -> Dat
     rarest = Window.partitionBy("hub", "id").orderBy("c", "item")
     singles = F.col("size") - F.count("*").over(Window.partitionBy("hub", "id"))  # items of one member come first in the order
     placed = items.join(counts, ["hub", "item"]).withColumn("at", F.row_number().over(rarest) + singles).where("at <= greatest(short, long)")
-    placed = materialize(placed.select("hub", "item", "id", "label", "linked", (F.col("at") <= F.col("short")).alias("early"), (F.col("at") <= F.col("long")).alias("within")), "prefixes")
-    left, right = placed.where("NOT linked"), placed.select("hub", "item", F.col("id").alias("z"), F.col("label").alias("lz"), F.col("linked").alias("kz"), F.col("early").alias("ez"), F.col("within").alias("wz"))
-    met = left.join(right, ["hub", "item"]).where("label <> lz AND ((kz AND within AND wz) OR (NOT kz AND early AND ez AND id < z))")
-    return met.select(F.least("id", "z").alias("a"), F.greatest("id", "z").alias("b"))
+    placed = placed.join(segments.select("id", "n", "small"), "id")
+    placed = write(placed.select("hub", "item", "id", "label", "n", "small", "linked", (F.col("at") <= F.col("short")).alias("early"), (F.col("at") <= F.col("long")).alias("within")), "prefixes")
+    left, right = placed.where("NOT linked"), placed.select("hub", "item", *(F.col(c).alias("z_" + c) for c in ("id", "label", "n", "small", "linked", "early", "within")))
+    meet = F.expr("label <> z_label AND ((z_linked AND within AND z_within) OR (NOT z_linked AND early AND z_early AND id < z_id))")
+    met = left.join(right, ["hub", "item"]).where(meet & _may_link(F.col("small"), F.col("z_small"), F.col("n"), F.col("z_n"), percent))
+    return met.select(F.least("id", "z_id").alias("a"), F.greatest("id", "z_id").alias("b"))
 
 
 def _unsettled(hubbed: DataFrame, found: DataFrame) -> DataFrame:
