@@ -311,15 +311,16 @@ def test_ball_tree_equals_brute_force_over_shards(spark, monkeypatch):
 def test_language_gradients():
     r = np.random.default_rng(1)
     net = langid.new_network(["a", "b"], 3)
-    net.embed, net.bias, net.cells, net.out, net.byte_out = (p.astype(np.float64) for p in net.params)
-    frames, real = langid._frames([b"hello world ab", b"foo"], 16)
-    label = np.array([0, 1])
+    net.embed, net.bias, net.cells, net.out, net.out_bias = (p.astype(np.float64) for p in net.params)
+    data = langid._columns([b"hello world ab", b"foo"], 16)
+    real, label = data != langid.PAD, np.array([0, 1])
 
     def loss():
-        p = langid._distributions(net, frames)
-        return -sum((np.log(p[k, :, i]) * real[:, i]).sum() for i, k in enumerate(label)) / real.sum()
+        p = langid._taped(net, data)[0]
+        return -sum((np.log(p[:, i, k]) * real[:, i]).sum() for i, k in enumerate(label)) / real.sum()
 
-    grads = langid._gradients(net, frames, real, label)
+    assert np.allclose(langid._taped(net, data)[0][real], langid.position_probabilities(net, data)[real], atol=1e-5)
+    grads = langid._gradients(net, data, label)
     for p, g in zip(net.params, grads, strict=True):
         for at in [tuple(x) for x in np.argwhere(np.abs(g) > 1e-4)[r.integers(0, (np.abs(g) > 1e-4).sum(), 3)]]:
             keep, eps = p[at], 1e-2
@@ -340,6 +341,27 @@ def test_language_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_language_positions_do_not_depend_on_windows_or_neighbours(monkeypatch):
+    r = np.random.default_rng(4)
+    net = langid.new_network(["a", "b", "c"], 1)
+    texts = [bytes(r.integers(0, 256, n, dtype=np.uint8)) for n in (0, 1, 511, 512, 513, 3000, 40)]
+    made = langid.document_probabilities(net, texts)
+    for t, p in zip(texts, made, strict=True):
+        assert np.allclose(langid.document_probabilities(net, [t])[0], p, atol=1e-5)
+        assert abs(p.sum() - 1) < 1e-5
+    whole = langid.position_probabilities(net, langid._columns([texts[-1]], 40)).mean(axis=0)[0]
+    assert np.allclose(whole, made[-1], atol=1e-5)
+    monkeypatch.setattr(langid, "WINDOW", 100)
+    assert np.allclose(langid.document_probabilities(net, texts), made, atol=0.02)
+
+
+def test_language_clashing_columns(spark):
+    d = spark.createDataFrame([(1, "abc", "x", 2, "y", 0.5)], "doc_id long, text string, _letters string, _read int, lang_pred string, score double")
+    net = langid.new_network(["a"])
+    made = langid.identify(d, net).first()
+    assert made.asDict() == {"doc_id": 1, "text": "abc", "_letters": "x", "_read": 2, "lang_pred": "a", "score": 1.0}
+
+
 def test_language_undetermined(spark):
     d = spark.createDataFrame([(1, None, "en"), (2, "123 !", "en"), (3, "abc", None)], "doc_id long, text string, lang string")
     rows = {r.doc_id: r.lang_pred for r in langid.language_report(d).collect()}

@@ -25,4 +25,4 @@ def test_stages(spark):
 
 
 def test_run(spark):
-    assert langid.FRAME and corpus_pipeline.run(spark, DIR).count() > 0
+    assert langid.WINDOW and corpus_pipeline.run(spark, DIR).count() > 0
