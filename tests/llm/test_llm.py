@@ -235,7 +235,7 @@ def test_substring_dedup(spark):
     p = "This passage of words repeats in documents. It has several sentences of some length. The last of them ends here."
     rows = [(3, f"Own words first are these ones. {p} And then own words follow here."), (1, f"Other words begin this document here. {p} It ends in another way entirely."), (2, "One line that is repeated within.\nOne  LINE that is repeated within.\nshort\nshort"), (4, None)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    made = {r.doc_id: r for r in substring_dedup.drop_repeats(d).collect()}
+    made = {r.doc_id: r for r in substring_dedup.drop_repeats(d, min_run=1).collect()}
     assert made[1].text == rows[1][1] and made[4].text is None
     assert "It has several sentences" not in made[3].text and made[3].text.startswith("Own words first")
     assert made[2].text == "One line that is repeated within.\nshort\nshort"
@@ -245,21 +245,56 @@ def test_substring_dedup(spark):
             assert kept == made[i].text
 
 
-def test_substring_dedup_equals_brute_force(spark):
-    rows = [(r.doc_id, r.text) for r in documents(spark).collect()]
+def brute_units(text):
+    """(normal form, start, end, words): lines, and the sentences of lines that have several, of five words or more."""
+    for line in re.finditer(r"[^\n]*\n|[^\n]+$", text):
+        a, body = line.start(), line[0].removesuffix("\n")
+        sentences = [m for m in re.finditer(r".+?(?:(?<=[.!?])[ \t]+|$)", body)]
+        for x, y in [(a, line.end()), *((a + m.start(), a + m.end()) for m in sentences if len(sentences) > 1)]:
+            w = text[x:y].lower().split()
+            if len(w) >= 5 and len(body.split()) >= 5:
+                yield " ".join(w), x, y, len(w)
+
+
+def brute_dedup(rows, min_run):
     first = {}
     for i, t in sorted(rows):
-        for digest, a, b in substring_dedup.units(t or "", 5):
-            first.setdefault(digest, (i, a))
-    for r in substring_dedup.drop_repeats(documents(spark)).collect():
-        text = dict(rows)[r.doc_id] or ""
-        gone = np.zeros(len(text), bool)
-        seen = set()
-        for digest, a, b in substring_dedup.units(text, 5):
-            if first[digest][0] != r.doc_id or digest in seen:
-                gone[a:b] = True
-            seen.add(digest)
-        assert r.text == "".join(c for c, g in zip(text, gone, strict=True) if not g)
+        for form, *_ in brute_units(t):
+            first.setdefault(form, i)
+    for i, t in rows:
+        seen, lost = set(), []
+        for form, a, b, n in brute_units(t):
+            if first[form] != i or form in seen:
+                lost.append((a, -b, n))
+            seen.add(form)
+        runs, at = [], -1000
+        for a, low, n in sorted(set(lost)):
+            if -low > at:
+                if a - at > substring_dedup.GAP:
+                    runs.append([])
+                runs[-1].append((a, -low, n))
+                at = -low
+        yield i, [(a, b) for run in runs if sum(n for *_, n in run) >= min_run for a, b, _ in run]
+
+
+@pytest.mark.parametrize("min_run", [1, 20])
+def test_substring_dedup_equals_brute_force(spark, min_run):
+    rows = [(r.doc_id, r.text or "") for r in documents(spark).collect()]
+    want = dict(brute_dedup(rows, min_run))
+    assert any(want.values())
+    for r in substring_dedup.drop_repeats(documents(spark), min_run=min_run).collect():
+        assert [tuple(x) for x in r.removed] == want[r.doc_id]
+        text = dict(rows)[r.doc_id]
+        cuts = [0, *(x for span in want[r.doc_id] for x in span), len(text)]
+        assert (r.text or "") == "".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
+
+
+def test_substring_dedup_tells_rows_of_an_id_apart(spark):
+    passage = " ".join(f"w{i}" for i in range(30)) + "."
+    rows = [(1, passage), (2, f"one two. {passage} tail"), (2, f"ABCDEFG here are other words entirely unrelated. And {passage}\n{passage}"), (2, "short"), (None, passage)]
+    d = spark.createDataFrame([(*x, "c", 1) for x in rows], "doc_id long, text string, id string, row int")
+    made = sorted((r.text, r.id, r.row) for r in substring_dedup.drop_repeats(d).collect())
+    assert made == sorted((t, "c", 1) for t in (passage, "one two. tail", f"ABCDEFG here are other words entirely unrelated. And {passage}\n", "short", passage))
 
 
 def test_chat_round_trip(spark):
