@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm import host_rules
 from tessera.llm.chat import chat_report
 from tessera.llm.host_rules import host_quality
 from tessera.llm.langid import language_report
@@ -121,7 +122,7 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
-OP9_SQL = """
+OP9_SQL = f"""
 WITH t AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 w AS (
   SELECT doc_id, source, t, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
@@ -136,15 +137,24 @@ m AS (
   SELECT w.doc_id, source, CAST(len(w) AS BIGINT) AS n_words,
     CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
     CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-    CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+    len(ls) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
     CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
   FROM w LEFT JOIN covered c ON c.doc_id = w.doc_id),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
-h AS (SELECT source, count(*) AS docs, sum(CAST(base_failed AS BIGINT)) AS failed FROM b WHERE source IS NOT NULL GROUP BY source),
-a AS (SELECT sum(failed) / sum(docs) AS mean, count(*) AS h, var_pop(failed / docs) AS v, avg(1 / docs) AS inv FROM h),
-a2 AS (SELECT mean, h, mean * (1 - mean) AS within_, greatest(v - mean * (1 - mean) * inv, 0) AS between_ FROM a),
-p AS (SELECT mean, CASE WHEN h > 1 AND between_ > 0 AND between_ < within_ THEN greatest(1.0, least(within_ / between_ - 1, 1000.0)) ELSE 20.0 END AS weight FROM a2),
-x AS (SELECT source, (failed + mean * weight) / (docs + weight) > 0.9 AS host_failed FROM h, p)
+f AS (SELECT source, {", ".join(f"CAST({rule} AS BIGINT) AS {name}" for name, rule in host_rules.RULES.items())} FROM b WHERE source IS NOT NULL),
+h AS (
+  SELECT source, rule, count(*) AS docs, sum(failed) AS failed
+  FROM (UNPIVOT f ON {", ".join(host_rules.RULES)} INTO NAME rule VALUE failed) GROUP BY source, rule),
+a AS (SELECT rule, sum(failed) / sum(docs) AS mean, count(*) AS h, var_pop(failed / docs) AS v, avg(1 / docs) AS inv FROM h GROUP BY rule),
+a2 AS (SELECT rule, mean, h, mean * (1 - mean) AS within_, v - mean * (1 - mean) * inv AS between_ FROM a),
+p AS (
+  SELECT rule, mean, CASE WHEN h < 2 OR within_ <= 0 THEN 20.0 WHEN between_ <= 0 THEN 1000.0
+    ELSE greatest(1.0, least(within_ / between_ - 1, 1000.0)) END AS weight FROM a2),
+r AS (
+  SELECT source, docs + weight + 1 AS size, (failed + mean * weight) / (docs + weight) AS rate, 
+    CASE WHEN mean * (1 - mean) = 0 THEN mean ELSE 1 / (1 + exp(-(ln(mean / (1 - mean)) + 2.0 / sqrt(mean * (1 - mean) * (weight + 1))))) END AS lim
+  FROM h JOIN p USING (rule)),
+x AS (SELECT source, bool_or(rate > 0.5 AND rate - 2.0 * sqrt(rate * (1 - rate) / size) > lim) AS host_failed FROM r GROUP BY source)
 SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT coalesce(host_failed, false) AS kept
 FROM b LEFT JOIN x ON b.source = x.source

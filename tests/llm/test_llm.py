@@ -410,6 +410,20 @@ def test_host_verdicts(spark):
     assert v["odd"].rate < 0.9  # shrunk towards the corpus
 
 
+def test_host_verdict_changes_documents(spark):
+    """A host most of whose documents are symbols loses the others too; one with too few documents doesn't, nor rows without a host."""
+    plain = " ".join(f"word{i}" for i in range(30))
+    marks = " ".join(f"word{i} #" for i in range(30))
+    rows = [(h * 1000 + i, plain, f"h{h}") for h in range(12) for i in range(40)] + [(50_000 + i, marks if i % 10 else plain, "bad") for i in range(200)]
+    rows += [(60_000, marks, "tiny"), (60_001, plain, "tiny"), (70_000, marks, None), (70_001, "too short", "h1")]
+    made = {r.doc_id: r for r in host_rules.host_quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert len(made) == len(rows)
+    for i, t, h in rows:
+        assert made[i].base_failed == (t == "too short") and made[i].kept == (h != "bad" and t != "too short"), (i, h)
+    alike = [r.asDict() for r in host_rules.host_quality(spark.createDataFrame([x for x in rows if x[2] != "bad"], "doc_id long, text string, source string")).collect()]
+    assert all(r["kept"] != r["base_failed"] for r in alike)
+
+
 def test_raking_and_calibration():
     r = np.random.default_rng(0)
     cells = [mixing.Cell((a, b, c), int(r.integers(1, 1000))) for a in "ab" for b in "xy" for c in "mno"]
