@@ -1,10 +1,11 @@
 """Exact top-k by inner product: a ball tree per shard, searched by branch and bound.
 
 Vectors are dealt to shards of bounded size by a hash of their id; one task
-builds a shard's tree. The queries go to every shard in blocks. A first shard
-gives every query a k-th score, and that bound travels with the query into all
-others: a node is opened only if its upper bound q.c + |q|r reaches the current
-k-th score. Scores are exact integers.
+builds a shard's tree. The queries go to every shard in blocks, in waves of
+shards, each some times as large as the one before. After each wave the k-th
+score of every query over all shards so far travels with it into the next: a
+node is opened only if its upper bound q.c + |q|r reaches the current k-th
+score. Scores are exact integers.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.storage import materialize
@@ -22,6 +23,8 @@ from tessera.storage import materialize
 LEAF = 32
 #: Vectors in a shard and queries in a block, on average.
 SHARD_ROWS, BLOCK_ROWS = 4096, 512
+#: Times by which a wave of shards grows.
+WAVE = 4
 #: Up to this product bound, float64 arithmetic on whole numbers is exact.
 EXACT = 2.0**52
 
@@ -112,8 +115,11 @@ def _search(k: int):
                     norms = np.sqrt((q * q).sum(axis=1))
                     bounds = q @ tree["c"].T + norms[:, None] * tree["r"][None, :]
                     bounds += 1e-9 * (np.abs(bounds) + norms[:, None] * (np.sqrt((tree["c"] ** 2).sum(axis=1)) + tree["r"])[None, :]) + 1e-6
+                    bounds = np.nan_to_num(bounds, nan=np.inf, posinf=np.inf)  # beyond double: no bound
                     for i, qid in enumerate(row.query_ids):
                         out += [(int(qid), -v, s) for s, v in search_tree(tree, int(qid), q[i], bounds[i], k, float(row.floors[i]))]
+                if any(not -(1 << 63) <= s < 1 << 63 for _, _, s in out):
+                    raise OverflowError("an inner product doesn't fit into 64 bits")
                 yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     return run
@@ -135,15 +141,22 @@ def exact_topk(vectors: DataFrame, *, every: int = 100, k: int = 10, scale: int
     Components become floor(scale * x); the score is their integer inner
     product, ties go to the smaller id. Fewer than k other vectors: all of
     them. Rows with a null id, a null or empty vector, or a null or non-finite
-    component take no part, nor do components beyond 2**52 / scale in size.
-    Vectors of another dimension are no candidates. Repeated rows count once;
-    if an id repeats with different vectors, its largest takes part. Other
-    columns are ignored; an empty table gives an empty table.
+    component take no part. Vectors of another dimension are no candidates.
+    Every row is a candidate, so an id that repeats can take several ranks; it
+    is no candidate of its own id, and as a query its rows share one list of k.
+    A score that doesn't fit into 64 bits raises an error, as does a component
+    beyond the range of double once scaled. Other columns are ignored; an empty
+    table gives an empty table.
     """
-    x = F.col(vector_col)
-    whole = F.transform(x, lambda e: F.floor(e.cast("double") * scale).cast("double"))
-    fine = F.col(id_col).isNotNull() & (F.size(x) > 0) & F.forall(x, lambda e: e.isNotNull() & (F.abs(e.cast("double") * scale) < EXACT))
-    rows = vectors.where(fine).groupBy(F.col(id_col).cast("long").alias("vec_id")).agg(F.max(whole).alias("v"))
+    x = vectors[vector_col]
+
+    def whole(e: Column) -> Column:
+        v = e.cast("double") * scale  # from 2**52 on every double is whole
+        fine = F.when(F.abs(v) < EXACT, F.floor(v).cast("double")).otherwise(v)
+        return F.when(F.abs(v) < float("inf"), fine).otherwise(F.raise_error(F.lit("a scaled component is beyond the range of double")).cast("double"))
+
+    finite = F.forall(x, lambda e: e.isNotNull() & (F.abs(e.cast("double")) < float("inf")))
+    rows = vectors.where(vectors[id_col].isNotNull() & (F.size(x) > 0) & finite).select(vectors[id_col].cast("long").alias("vec_id"), F.transform(x, whole).alias("v"))
     rows = materialize(rows.withColumn("dim", F.size("v")), "vectors")
     total = rows.count()
     shards = max(1, -(-total // SHARD_ROWS))
@@ -160,10 +173,17 @@ def exact_topk(vectors: DataFrame, *, every: int = 100, k: int = 10, scale: int
         return sent.select("shard", "dim", "ids", "xs", "query_ids", "qs", "floors").mapInPandas(_search(k), schema)
 
     ranking = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    lowest = F.lit(float("-inf"))
-    pilot = materialize(search(queries.withColumn("floor", lowest), trees.where("shard = 0"), F.array(F.lit(0))), "pilot")
-    if shards > 1:
-        floors = pilot.groupBy("query_id").agg(F.min("score").cast("double").alias("floor"), F.count("*").alias("c")).where(F.col("c") == k).select("query_id", "floor")
-        asked = queries.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", lowest))
-        pilot = pilot.unionByName(search(asked, trees.where("shard > 0"), F.sequence(F.lit(1), F.lit(shards - 1))))
-    return pilot.withColumn("rank", F.row_number().over(ranking)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best, first, wide = None, 0, 1
+    while first < shards:
+        last = min(first + wide, shards) - 1
+        asked = queries.withColumn("floor", F.lit(float("-inf")))
+        if best is not None:
+            floors = best.where(F.col("rank") == k).select("query_id", (F.col("score") - F.abs("score") * 1e-15).alias("floor"))  # not above the score, rounded or not
+            asked = queries.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+        made = search(asked, trees.where(F.col("shard").between(first, last)), F.sequence(F.lit(first), F.lit(last)))
+        if best is not None:
+            made = best.select("query_id", "vec_id", "score").unionByName(made)
+        ranked = made.withColumn("rank", F.row_number().over(ranking)).where(F.col("rank") <= k)
+        best = materialize(ranked, "best") if last + 1 < shards else ranked
+        first, wide = last + 1, wide * WAVE
+    return best.select("query_id", "rank", "vec_id", "score")
