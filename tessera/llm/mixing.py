@@ -153,8 +153,12 @@ def _value(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
-def mix(docs: DataFrame, *, budget: float = 0.5, targets: dict[str, dict[str, float]] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, seed: int = 0) -> DataFrame:
-    """``docs`` with _mix_tokens, _mix_source, _mix_lang, _mix_topic, _mix_p and _mix_taken.
+#: Columns that ``mix`` adds.
+ADDED = ("_mix_tokens", "_mix_source", "_mix_lang", "_mix_topic", "_mix_p", "_mix_taken")
+
+
+def mix(docs: DataFrame, *, budget: float = 0.5, targets: dict[str, dict[str, float]] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, seed: int = 0, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (its columns ``keep``, all by default) with the columns ADDED.
 
     ``budget`` is the share of all tokens to expect in the sample. ``targets``
     maps source, lang and topic to wanted shares; by default the shares of the
@@ -162,34 +166,42 @@ def mix(docs: DataFrame, *, budget: float = 0.5, targets: dict[str, dict[str, fl
     on [0, 1), is below its cell's probability, so repeated rows fare alike.
     Null values of a dimension are the value ""; a null or empty text has no
     tokens and, in a cell without tokens, probability 0. Rows are neither
-    dropped nor merged; an empty table gives an empty table.
+    dropped nor merged; columns named as in ADDED are replaced, all others may
+    have any name; an empty table gives an empty table. Texts are measured
+    once where ``keep`` leaves them out, else again as the rows are returned.
     """
-    topic = text_topic(F.col(text_col)) if topic is None else topic
-    values = {"source": _value(F.col(source_col)), "lang": _value(F.col(lang_col)), "topic": _value(topic)}
-    names = [f"_mix_{d}" for d in DIMENSIONS]
-    light = materialize(docs.select(*(v.alias(k) for k, v in values.items()), token_count(F.col(text_col)).alias("n")).groupBy(*DIMENSIONS).agg(F.sum("n").alias("tokens")), "cells")
-    keyed = docs.withColumns({"_mix_tokens": token_count(F.col(text_col))} | {f"_mix_{d}": v for d, v in values.items()})
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ADDED]
+    topic = text_topic(docs[text_col]) if topic is None else topic
+    values = {"source": _value(docs[source_col]), "lang": _value(docs[lang_col]), "topic": _value(topic)}
+    draw = F.pmod(F.xxhash64(F.lit(seed), docs[id_col], docs[text_col]), F.lit(1 << 40)) / float(1 << 40)
+    # by place, so that no name can clash
+    measured = docs.select(*(docs[c].alias(f"c{i}") for i, c in enumerate(keep)), *(v.alias(k) for k, v in values.items()), token_count(docs[text_col]).alias("tokens"), draw.alias("draw"))
+    if text_col not in keep:
+        measured = materialize(measured, "measured")
+    light = materialize(measured.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "cells")
     targets = targets or {}
     if light.count() <= CELLS:
         cells = [Cell((r["source"], r["lang"], r["topic"]), int(r["tokens"])) for r in light.orderBy(*DIMENSIONS).collect()]
         weights = rake(cells, [targets.get(d) or smoothed(cells, k) for k, d in enumerate(DIMENSIONS)])
         chance = calibrate(cells, weights, budget * sum(c.tokens for c in cells))
-        schema = ", ".join(f"{n} string" for n in names) + ", _mix_p double"
+        schema = ", ".join(f"{d} string" for d in DIMENSIONS) + ", p double"
         table = F.broadcast(docs.sparkSession.createDataFrame([(*c.key, float(p)) for c, p in zip(cells, chance, strict=True)], schema))
     else:
-        table = chances(light, targets, budget).select(*(F.col(d).alias(n) for d, n in zip(DIMENSIONS, names, strict=True)), F.col("p").alias("_mix_p"))
-    joined = keyed.join(table, names, "left")
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(1 << 40)) / float(1 << 40)
-    return joined.withColumn("_mix_p", F.coalesce("_mix_p", F.lit(0.0))).withColumn("_mix_taken", draw < F.col("_mix_p"))
+        table = chances(light, targets, budget).select(*DIMENSIONS, "p")
+    p = F.coalesce("p", F.lit(0.0))
+    joined = measured.join(table, list(DIMENSIONS), "left")
+    return joined.select(*(f"c{i}" for i in range(len(keep))), "tokens", *DIMENSIONS, p, F.col("draw") < p).toDF(*keep, *ADDED)
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
     """Per row: id, tokens, source, lang, topic, p, taken."""
-    made = mix(docs, **options)
     key = options.get("id_col", "doc_id")
+    made = mix(docs, keep=[key], **options)
     return made.select(key, F.col("_mix_tokens").alias("tokens"), F.col("_mix_source").alias("source_cell"), F.col("_mix_lang").alias("lang_cell"), F.col("_mix_topic").alias("topic"), F.round("_mix_p", 9).alias("p"), F.col("_mix_taken").alias("taken"))
 
 
 def sample_mixture(docs: DataFrame, **options) -> DataFrame:
     """The taken rows of ``docs``, with its columns."""
-    return mix(docs, **options).where("_mix_taken").select(*docs.columns)
+    own = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    named = {k: f"c{docs.columns.index(options.pop(k, name))}" for k, name in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source"), ("lang_col", "lang"))}
+    return mix(own, **named, **options).where("_mix_taken").select(*own.columns).toDF(*docs.columns)

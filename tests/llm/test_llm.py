@@ -316,6 +316,30 @@ def test_license_scan():
     assert license.scan_text(m, None) == []
 
 
+def brute_topk(rows, k):
+    v = [(i, [int(np.floor(1024.0 * e)) for e in x]) for i, x in rows]
+    out = {}
+    for q in {i for i, _ in v if i % 100 == 0}:
+        scores = sorted(((-sum(a * b for a, b in zip(x, y, strict=True)), i) for j, x in v if j == q for i, y in v if i != q))
+        out[q] = [(i, -s) for s, i in scores[:k]]
+    return out
+
+
+def test_topk_keeps_every_row_and_wide_components(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD_ROWS", 7)
+    r = np.random.default_rng(2)
+    rows = [(int(i), [float(e) for e in r.normal(0, 1, 3)]) for i in r.permutation(60)] + [(100, [2.0**43, 1.0, 0.0]), (7, [0.5, 0.5, 0.5]), (7, [0.5, 0.5, 0.5]), (200, [0.0, -(2.0**20), 2.0**-80])]
+    d = spark.createDataFrame([(*x, 1, "c") for x in rows], "vec_id long, embedding array<double>, shard int, query_id string")
+    made = defaultdict(list)
+    for x in topk.exact_topk(d, k=5).orderBy("query_id", "rank").collect():
+        made[x.query_id].append((x.vec_id, x.score))
+        assert x.rank == len(made[x.query_id])
+    assert made == brute_topk(rows, 5) and set(made) == {0, 100, 200}
+    with pytest.raises(Exception, match="64 bits"):
+        topk.exact_topk(spark.createDataFrame([(0, [4e6, 4e6]), (1, [4e6, 4e6])], "vec_id long, embedding array<double>")).collect()
+    assert topk.exact_topk(d.limit(0)).collect() == []
+
+
 def test_topk_ties_and_faults(spark):
     nan = float("nan")
     rows = [(i, [float(i % 5), 1.0]) for i in range(1, 300)] + [(0, [1.0, 1.0]), (400, None), (401, [nan, 1.0]), (402, []), (403, [None, 1.0]), (404, [1.0]), (500, [1.0, 1.0])]
@@ -424,6 +448,19 @@ def test_host_verdict_changes_documents(spark):
     assert all(r["kept"] != r["base_failed"] for r in alike)
 
 
+def test_mixture_clashing_columns_and_whole_report(spark):
+    rows = [(i, f"word {i} " * (1 + i % 7), "en" if i % 3 else None, f"s{i % 4}", 0.5, True, "t") for i in range(200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _mix_p double, _mix_taken boolean, c0 string")
+    report = {r.doc_id: r for r in mixing.mix_report(d).collect()}
+    assert len(report) == 200 and all(report[i].tokens == 2 * (1 + i % 7) and report[i].lang_cell == ("en" if i % 3 else "") for i in range(200))
+    kept = mixing.sample_mixture(d)
+    assert kept.columns == d.columns
+    assert {r.doc_id for r in kept.collect()} == {i for i, r in report.items() if r.taken}
+    assert all(r._mix_p == 0.5 and r._mix_taken and r.c0 == "t" for r in kept.collect())
+    share = sum(r.tokens * r.p for r in report.values()) / sum(r.tokens for r in report.values())
+    assert abs(share - 0.5) < 1e-6
+
+
 def test_raking_and_calibration():
     r = np.random.default_rng(0)
     cells = [mixing.Cell((a, b, c), int(r.integers(1, 1000))) for a in "ab" for b in "xy" for c in "mno"]
