@@ -328,7 +328,7 @@ def brute_topk(rows, k):
 def test_topk_keeps_every_row_and_wide_components(spark, monkeypatch):
     monkeypatch.setattr(topk, "SHARD_ROWS", 7)
     r = np.random.default_rng(2)
-    rows = [(int(i), [float(e) for e in r.normal(0, 1, 3)]) for i in r.permutation(60)] + [(100, [2.0**43, 1.0, 0.0]), (7, [0.5, 0.5, 0.5]), (7, [0.5, 0.5, 0.5]), (200, [0.0, -(2.0**20), 2.0**-80])]
+    rows = [(int(i), [float(e) for e in r.normal(0, (0.003, 1, 1))]) for i in r.permutation(60)] + [(100, [2.0**43, 1.0, 0.0]), (7, [0.01, 0.5, 0.5]), (7, [0.01, 0.5, 0.5]), (200, [0.0, -(2.0**20), 2.0**-80])]
     d = spark.createDataFrame([(*x, 1, "c") for x in rows], "vec_id long, embedding array<double>, shard int, query_id string")
     made = defaultdict(list)
     for x in topk.exact_topk(d, k=5).orderBy("query_id", "rank").collect():
