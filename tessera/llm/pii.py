@@ -37,11 +37,11 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Generators beyond the base rules: kind, what a text must contain, pattern.
 GENERATORS = (
-    ("email", r"(?i)[\[( ]\x20?at\x20?[\]) ]", r"(?i)(?<![A-Za-z0-9._+-])[A-Za-z0-9._+-]{2,64}(?:\x20?[\[(]\x20?at\x20?[\])]\x20?|\x20at\x20)[A-Za-z0-9-]{2,63}(?:(?:\x20?[\[(]\x20?dot\x20?[\])]\x20?|\x20dot\x20)[A-Za-z0-9-]{2,63}){1,3}(?![A-Za-z0-9])"),
+    ("email", r"(?i)[\[( ]\x20?at\x20?[\]) ]", r"(?i)(?<![A-Za-z0-9._+-])[A-Za-z0-9._+-]{2,}+(?:\x20?[\[(]\x20?at\x20?[\])]\x20?|\x20at\x20)[A-Za-z0-9-]{2,}+(?:(?:\x20?[\[(]\x20?dot\x20?[\])]\x20?|\x20dot\x20)[A-Za-z0-9-]{2,}+)++"),
     ("phone", r"[0-9]", r"(?<![0-9A-Za-z+.,/-])\(?[0-9]{2,5}\)?(?:[\x20./-]{1,2}[0-9]{2,5}){1,5}(?![0-9A-Za-z])"),
     ("id", r"[0-9]-[0-9]", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
     ("iban", r"[A-Z]{2}[0-9]{2}", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[0-9A-Z]{4}){2,7}(?:\x20?[0-9A-Z]{1,4})?(?![0-9A-Za-z])"),
-    ("secret", r"(?i)(?:token|key|secret|passw)", r"(?i)(?<![A-Za-z])(?:token|api[_-]?key|key|secret|password|passwd)[\x20\"']{0,3}[:=][\x20\"']{0,3}[A-Za-z0-9_+/-]{6,128}"),
+    ("secret", r"(?i)(?:token|key|secret|passw)", r"(?i)(?<![A-Za-z])(?:token|api[_-]?key|key|secret|password|passwd)[\x20\"']{0,3}[:=][\x20\"']{0,3}[A-Za-z0-9_+/-]{6,}+=*+"),
 )
 CUES = r"(?i)(?:tel|phone|call|fax|mobile|cell|contact|mail|write|reach|ssn|social|iban|account|bank|token|key|secret|password)[^0-9A-Za-z]*$"
 OTHER = r"(?i)(?:version|v\.|release|order|invoice|page|isbn|issn|doi|section|figure|chapter|score|ratio|total|no\.|date|on|\$|€|#)[^0-9A-Za-z]*$"
@@ -222,13 +222,16 @@ def find_pii(docs: DataFrame, *, text_col: str = "text", base_col: str = "pii_ba
     column of the same name as an output is replaced.
     """
     model = fit(docs.sparkSession)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
 
     def both(b: Column) -> Column:
         extra = F.filter(_added_spans(text, model), lambda s: ~F.exists(b, lambda t: (t["start"] <= s["start"]) & (s["end"] <= t["end"])))
         return F.struct(b.alias("base"), F.array_sort(F.array_distinct(F.concat(b, extra))).alias("spans"))
 
-    return docs.withColumn("_pii", let(F.array_sort(_base_spans(text)), both)).withColumns({base_col: F.col("_pii.base"), spans_col: F.col("_pii.spans")}).drop("_pii")
+    # by place, so that no name can clash
+    names = [c for c in docs.columns if c not in (base_col, spans_col)]
+    made = docs.select(*(docs[c].alias(f"c{i}") for i, c in enumerate(names)), let(F.array_sort(_base_spans(text)), both).alias("made"))
+    return made.select(*(f"c{i}" for i in range(len(names))), "made.base", "made.spans").toDF(*names, base_col, spans_col)
 
 
 def redact(text: Column, spans: Column) -> Column:
@@ -261,6 +264,8 @@ def pii_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
 
 def redact_documents(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with every span replaced in ``text_col``; a null text stays null; columns and rows are kept."""
-    found = find_pii(docs, text_col=text_col, base_col="_pii_base", spans_col="_pii_spans")
-    return found.withColumn(text_col, redact(F.col(text_col), F.col("_pii_spans"))).select(*docs.columns)
+    """``docs`` with every span replaced in ``text_col``; a null text stays null; columns and rows are kept, whatever their names."""
+    own = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    text = f"c{docs.columns.index(text_col)}"
+    found = find_pii(own, text_col=text)
+    return found.withColumn(text, redact(F.col(text), F.col("pii_spans"))).select(*own.columns).toDF(*docs.columns)
