@@ -9,8 +9,7 @@ Tables that only an operator's own steps read are removed when it is done.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -46,21 +45,31 @@ def _remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
-    """A ``materialize`` whose tables are removed at the end; what is returned must not read them."""
-    made: list[str] = []
+class Scratch:
+    """``materialize`` for tables that only an operator's own steps read: they are removed on leaving, or before by ``drop``."""
 
-    def write(df: DataFrame, name: str) -> DataFrame:
+    def __init__(self, spark: SparkSession):
+        self.spark, self.made = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for _, path in self.made:
+            _remove(self.spark, path)
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
         scan, path = _write(df, name)
-        made.append(path)
+        self.made.append((scan, path))
         return scan
 
-    try:
-        yield write
-    finally:
-        for path in made:
-            _remove(spark, path)
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove tables that no later step reads, and the shuffle files of the steps so far (Spark does when the driver collects garbage)."""
+        for scan, path in self.made:
+            if any(scan is t for t in tables):
+                _remove(self.spark, path)
+        self.made = [x for x in self.made if not any(x[0] is t for t in tables)]
+        self.spark._jvm.System.gc()
 
 
 def map_arrow(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataFrame:
