@@ -28,7 +28,7 @@ into fragments, and a document's set falls into one segment per fragment.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
 from tessera.llm.shingles import WordHashes, mix, shingle_set
-from tessera.storage import map_arrow, materialize, scratch
+from tessera.storage import Scratch, map_arrow, materialize
 
 #: Fragments in which overlaps are counted.
 COUNT_FRAGMENTS = 4
@@ -199,7 +199,7 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 5, percent: int = 80,
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     digest = ["n", "d1", "d2"]
     schema = "id long, n long, d1 long, d2 long, cuts array<struct<spare:int,keys:array<long>>>"
-    with scratch(docs.sparkSession) as write:
+    with Scratch(docs.sparkSession) as write:
         base = write(map_arrow(source, _sets(shingle, percent), schema), "sets")
         members = materialize(base.select("id", *digest), "members")
         sets = base.where("n > 0 AND id IS NOT NULL")
@@ -213,9 +213,11 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 5, percent: int = 80,
             cuts = sets.join(copies, "id", "left_anti").select("id", F.explode("cuts").alias("cut"))
             rows = cuts.select(F.explode("cut.keys").alias("key"), "id", F.col("cut.spare").alias("spare"))
             buckets = write(map_arrow(rows.repartition("key").sortWithinPartitions("key"), _shared, "key long, id long, spare int"), "buckets")
+            sets = write(sets.select("id", *digest), "digests")
+            write.drop(base)
             if not buckets.isEmpty():
                 read = source.where(F.col("id").isNotNull())
-                found = materialize(_components(buckets, read, sets.select("id", *digest), shingle, percent, write), "components")
+                found = materialize(_components(buckets, read, sets, shingle, percent, write), "components")
         if repeats:
             owner = materialize(sets.join(classes, digest).select("id", "rep"), "owners")
     members = members.join(owner, "id", "left") if repeats else members.join(classes, digest, "left")
@@ -224,7 +226,7 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 5, percent: int = 80,
     return members.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("component_id"))
 
 
-def _components(buckets: DataFrame, source: DataFrame, sets: DataFrame, shingle: int, percent: int, write: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+def _components(buckets: DataFrame, source: DataFrame, sets: DataFrame, shingle: int, percent: int, write: Scratch) -> DataFrame:
     """(id, component) of the representatives that have links."""
     # linked sets share more than `spare` keys, so a set's `spare` most frequent ones (in one order for all) needn't be looked at
     sized = buckets.join(buckets.groupBy("key").agg(F.count("*").alias("m")), "key")
@@ -232,8 +234,10 @@ def _components(buckets: DataFrame, source: DataFrame, sets: DataFrame, shingle:
     few = sized.withColumn("r", F.row_number().over(frequent)).where("r > spare").select("key", "id")
     several = few.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     few = write(few.join(several, "key"), "few")
+    write.drop(buckets)
     central = few.groupBy("id").agg(F.sum("m").alias("score"))
     ranked = write(few.join(central, "id").select("key", "id", "score"), "ranked")
+    write.drop(few)
     wanted = write(ranked.select("id").distinct().join(sets, "id"), "wanted")
     made = map_arrow(source.join(wanted, "id").select("id", "text", "n", "d1", "d2"), _segments(shingle, percent), "id long, n long, small array<long>, sketch array<long>, parts array<array<long>>")
     segments = write(made, "segments")
@@ -241,10 +245,12 @@ def _components(buckets: DataFrame, source: DataFrame, sets: DataFrame, shingle:
         segments = write(segments.dropDuplicates(["id"]), "segments")
     hubs = ranked.groupBy("key").agg(F.max(F.struct("score", F.negate("id").alias("low"))).alias("h")).select("key", F.negate("h.low").alias("a"))
     hubbed = write(ranked.join(hubs, "key"), "hubbed")
+    write.drop(ranked)
     tried = write(hubbed.where("id <> a").select(F.greatest("id", "a").alias("b"), F.least("id", "a").alias("a")).distinct(), "stars")
     links = write(count_overlaps(tried, segments, percent), "links")
     found = write(connected_components(links, write=write), "components")
     open_ = write(_unsettled(hubbed, found), "open")
+    write.drop(hubbed)
     if open_.isEmpty():
         return found
     pairs = _by_difference(open_, segments, percent, write).distinct()
@@ -253,7 +259,7 @@ def _components(buckets: DataFrame, source: DataFrame, sets: DataFrame, shingle:
     return found if new.isEmpty() else connected_components(links.unionByName(new), write=write)
 
 
-def _by_difference(members: DataFrame, segments: DataFrame, percent: int, write: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+def _by_difference(members: DataFrame, segments: DataFrame, percent: int, write: Scratch) -> DataFrame:
     """Candidate pairs (a < b) among members of open buckets, from how they differ from the bucket's hub.
 
     With d(x) the shingles in which x and the hub h differ, sets x and z differ
@@ -270,17 +276,20 @@ def _by_difference(members: DataFrame, segments: DataFrame, percent: int, write:
     r = (100 - percent) / (100 + percent)
     size, near = F.size("d"), F.lit(r) * (F.col("n") + F.col("nh"))
     at_least = lambda c: F.greatest(F.lit(1), F.ceil(c - 1e-9).cast("int"))
-    items = whole.select(
-        "hub", "id", "label", size.alias("size"), (size <= near + 1e-9).alias("linked"), F.explode("d").alias("item"),
+    about = whole.select(
+        "hub", "id", "label", size.alias("size"), (size <= near + 1e-9).alias("linked"),
         (size - at_least((size - near + 2 * r * (1 - r) / (1 + r) * F.col("nh")) / 2) + 1).alias("short"),
         (size - at_least(F.when(size <= near + 1e-9, size * (1 - r) / 2).otherwise((size - near) / 2)) + 1).alias("long"),
     )
-    counts = items.groupBy("hub", "item").agg(F.count("*").alias("c")).where("c > 1")
+    items = whole.select("hub", "id", F.explode("d").alias("item"))
+    shared = write(items.groupBy("hub", "item").agg(F.count("*").alias("c")).where("c > 1"), "shared")
     rarest = Window.partitionBy("hub", "id").orderBy("c", "item")
     singles = F.col("size") - F.count("*").over(Window.partitionBy("hub", "id"))  # items of one member come first in the order
-    placed = items.join(counts, ["hub", "item"]).withColumn("at", F.row_number().over(rarest) + singles).where("at <= greatest(short, long)")
+    ordered = items.join(shared, ["hub", "item"]).join(about, ["hub", "id"])
+    placed = ordered.withColumn("at", F.row_number().over(rarest) + singles).where("at <= greatest(short, long)")
     placed = placed.join(segments.select("id", "n", "small"), "id")
     placed = write(placed.select("hub", "item", "id", "label", "n", "small", "linked", (F.col("at") <= F.col("short")).alias("early"), (F.col("at") <= F.col("long")).alias("within")), "prefixes")
+    write.drop(whole, shared)
     left, right = placed.where("NOT linked"), placed.select("hub", "item", *(F.col(c).alias("z_" + c) for c in ("id", "label", "n", "small", "linked", "early", "within")))
     meet = F.expr("label <> z_label AND ((z_linked AND within AND z_within) OR (NOT z_linked AND early AND z_early AND id < z_id))")
     met = left.join(right, ["hub", "item"]).where(meet & _may_link(F.col("small"), F.col("z_small"), F.col("n"), F.col("z_n"), percent))
