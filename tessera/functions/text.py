@@ -6,7 +6,7 @@ There are six normalisers on purpose; results depend on which one is used.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from urllib.parse import unquote as _unquote
 
@@ -89,9 +89,12 @@ def tokenize(x: Column) -> Column:
     return F.regexp_extract_all(normalize_eval(x), F.lit("[a-z0-9]{2,}"), F.lit(0))
 
 
-def query_tokens(x: Column) -> Column:
-    """Distinct rerank tokens of three or more without stop words, unless they are important."""
-    drop = F.array(*(F.lit(w) for w in vocab.STOPWORDS if w not in vocab.IMPORTANT_TOKENS))
+def query_tokens(x: Column, institution: Sequence[str] = ()) -> Column:
+    """Distinct rerank tokens of three or more without stop words, unless they are important.
+
+    ``institution`` holds further stop words: the institution's own name.
+    """
+    drop = F.array(*(F.lit(w) for w in (*institution, *vocab.STOPWORDS) if w not in vocab.IMPORTANT_TOKENS))
     return F.array_except(F.array_distinct(F.regexp_extract_all(normalize_rerank(x), F.lit("[a-z0-9]{3,}"), F.lit(0))), drop)
 
 
@@ -99,12 +102,22 @@ def contains_any(x: Column, words) -> Column:
     return reduce(lambda a, b: a | b, (F.contains(x, F.lit(w)) for w in words))
 
 
+QUOTES = "\"'“”‘’`"
+
+
+def strip(x: Column) -> Column:
+    """Without white space of any script at the ends."""
+    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+
+
 def clean_question(x: Column) -> Column:
-    """Strip quotes, bullets and numbering from the front, thrice; collapse blanks."""
-    y = F.trim(or_empty(x))
+    """Strip quotes from both ends, bullets (followed by a blank) and numbering from the front, thrice; collapse blanks."""
+    y = or_empty(x)
     for _ in range(3):
-        y = F.regexp_replace(F.regexp_replace(y, r"""^["'“”‘’\s]+|["'“”‘’\s]+$""", ""), r"^(?:[-*•]\s*|\d+[.)]\s*)", "")
-    return collapse(y)
+        y = F.btrim(strip(y), F.lit(QUOTES))
+        y = F.regexp_replace(y, r"^\s*(?:[-*+]\s+)+", "")
+        y = F.regexp_replace(y, r"^\s*[0-9]+\s*[.)]\s*", "")
+    return collapse(strip(y))
 
 
 def preview_cut(x: Column, limit: int = 500) -> Column:
@@ -119,7 +132,11 @@ def preview_append(x: Column, limit: int = 500) -> Column:
     return F.when(F.length(y) <= limit, y).otherwise(F.concat(F.left(y, F.lit(limit)), F.lit("...")))
 
 
-def trim_tail(x: Column, limit: int, marker: str = "...[kısaltıldı]\n") -> Column:
+#: Fixed value: what a cut history begins with.
+CUT_MARKER = "[gecmis kisaltildi]\n"
+
+
+def trim_tail(x: Column, limit: int, marker: str = CUT_MARKER) -> Column:
     """The tail of a text within a budget that includes the marker."""
     y = or_empty(x)
     room = max(0, limit - len(marker))
@@ -130,9 +147,21 @@ def page_key(x: Column) -> Column:
     return F.coalesce(x.try_cast("int"), F.lit(0))
 
 
+@F.pandas_udf(StringType())
+def _compatible(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in batches:
+        yield s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+
+
+def compatible(x: Column) -> Column:
+    """Compatibility composition (NFKC); ASCII texts, which it leaves alone, aren't sent to Python."""
+    plain = x.rlike(r"^\p{ASCII}*$")
+    return F.when(plain, x).otherwise(_compatible(F.when(~plain, x)))
+
+
 def clean_markdown(x: Column) -> Column:
-    """At most one blank line in a row; rows of short cells divided by bars go; stripped (compatibility forms are kept)."""
-    y = F.regexp_replace(or_empty(x), "\n{3,}", "\n\n")
+    """Compatibility forms composed, at most one blank line in a row, no rows of short cells divided by bars; stripped."""
+    y = F.regexp_replace(compatible(or_empty(x)), "\n{3,}", "\n\n")
     y = F.regexp_replace(y, r"(?m)^([ \t]*[\p{L}\p{N}_ ]{1,30}[ \t]*\|)+[ \t]*[\p{L}\p{N}_ ]{1,30}[ \t]*$", "")
     return F.regexp_replace(y, r"^\s+|\s+$", "")
 

@@ -562,22 +562,64 @@ def report_delta(s, d):
     return evaluate.delta(count(documents(s, d)), count(documents(s, d).where("doc_id % 2 = 0 AND source <> 'src1'")), "source", "n")
 
 
-@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b FROM conversations)
-SELECT conv_id, string_agg(role || ': ' || left(coalesce(text, ''), 800), chr(10) ORDER BY turn) AS history FROM r WHERE b <= 6 GROUP BY conv_id""")
-def chat_history(s, d):
-    return prompt.chat_history(table(s, d, "conversations"))
+def _stripped(x: str) -> str:
+    return f"regexp_replace({x}, '^[\\s\\x0b]+|[\\s\\x0b]+$', '', 'g')"
+
+
+def _listed(x: str) -> str:
+    n = f"regexp_replace(replace(strip_accents(lower({x})), 'ı', 'i'), '\\s+', ' ', 'g')"
+    items = f"len(regexp_extract_all({n}, '\\b[0-9]+\\.\\s+.*?\\bparca\\b'))"
+    return f"(contains({n}, '{prompt.LISTING_PHRASE}') OR regexp_matches({n}, 'toplam:\\s*[0-9]+\\s+benzersiz kaynak') OR {items} >= 8)"
+
 
+def _tail(x: str, limit: int) -> str:
+    return f"CASE WHEN length({x}) <= {limit} THEN {x} ELSE '[gecmis kisaltildi]' || chr(10) || right({x}, {limit} - 20) END"
 
-@query(f"""WITH {BM25_CTE}, t AS (SELECT query_id, string_agg('[' || rank || '] Kaynak: ' || source || chr(10) || 'İçerik: ' || text, chr(10) || chr(10) ORDER BY rank) AS c FROM bm JOIN documents USING (doc_id) GROUP BY query_id)
+
+HISTORY_TURNS = "SELECT conv_id, turn, role, CASE WHEN conv_id % 5 = 0 AND turn = 0 THEN 'Toplam: 12 benzersiz kaynak' WHEN conv_id % 5 = 1 THEN repeat(coalesce(text, '') || ' ', 9) ELSE coalesce(text, '') END AS text FROM conversations"
+
+
+@query(f"""WITH t AS ({HISTORY_TURNS}), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b FROM t),
+m AS (SELECT conv_id, turn, coalesce(role, '') || ': ' || CASE WHEN {_listed("text")} THEN '{prompt.LISTED_TURN}' ELSE {_tail("text", 800)} END AS x FROM r WHERE b <= 6),
+h AS (SELECT conv_id, {_stripped("string_agg(x, chr(10) ORDER BY turn)")} AS h FROM m GROUP BY conv_id),
+l AS (SELECT conv_id, h, unnest(string_split(h, chr(10))) AS line, generate_subscripts(string_split(h, chr(10)), 1) AS i FROM h),
+f AS (SELECT *, {_listed("line")} AS listed, min(CASE WHEN {_listed("line")} THEN i END) OVER (PARTITION BY conv_id) AS first FROM l),
+k AS (SELECT conv_id, any_value(h) AS h, {_stripped(f"coalesce(string_agg(CASE WHEN listed THEN '{prompt.LISTED_HISTORY}' ELSE line END, chr(10) ORDER BY i) FILTER (WHERE NOT listed OR i = first), '')")} AS kept FROM f GROUP BY conv_id)
+SELECT conv_id, CASE WHEN h = '' THEN '' WHEN {_listed("h")} THEN '{prompt.LISTED_HISTORY}' ELSE {_tail("kept", 2500)} END AS history FROM k""")
+def chat_history(s, d):
+    text = F.coalesce("text", F.lit(""))
+    said = F.when(F.expr("conv_id % 5 = 0 AND turn = 0"), "Toplam: 12 benzersiz kaynak").when(F.expr("conv_id % 5 = 1"), F.repeat(F.concat(text, F.lit(" ")), 9)).otherwise(text)
+    return prompt.chat_history(table(s, d, "conversations").withColumn("text", said))
+
+
+@query(f"""WITH {BM25_CTE}, c AS (
+  SELECT query_id, rank, text, doc_id, CASE WHEN doc_id % 3 = 0 THEN 'https://www.example.edu/' || source || '/a.pdf' WHEN doc_id % 3 = 1 THEN '' ELSE source || '.pdf' END AS src,
+    CASE WHEN doc_id % 7 = 0 THEN 'Y%C3%B6nerge_1234567890.pdf' ELSE '' END AS title, source FROM bm JOIN documents USING (doc_id)),
+b AS (SELECT query_id, rank, concat_ws(chr(10),
+    '[' || rank || '] Kaynak: ' || CASE WHEN title <> '' THEN 'Yönerge' WHEN doc_id % 3 = 0 THEN 'www.example.edu' WHEN doc_id % 3 = 1 THEN 'Bilinmeyen Belge' ELSE source END,
+    CASE WHEN doc_id % 2 = 0 THEN 'Madde: ' || (doc_id % 50) || CASE WHEN doc_id % 4 = 0 THEN ' - Amaç' ELSE '' END END,
+    CASE WHEN doc_id % 5 < 3 THEN 'Sayfa: ' || (doc_id % 9 + 1) || CASE WHEN doc_id % 5 = 1 THEN '-' || (doc_id % 9 + 2) ELSE '' END END,
+    CASE WHEN doc_id % 3 = 0 THEN 'URL: ' || src END, 'İçerik:', text) AS block FROM c),
+t AS (SELECT query_id, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS c FROM b GROUP BY query_id)
 SELECT query_id, CASE WHEN length(c) > 5000 THEN left(c, 5000) || chr(10) || '...[bağlam kısaltıldı]' ELSE c END AS context FROM t""")
 def context_builder(s, d):
+    pick = lambda condition, value: F.when(F.expr(condition), F.expr(value))
     rows = bm25_topk(s, d).join(documents(s, d).select("doc_id", "source", F.col("text").alias("content")), "doc_id")
+    rows = rows.withColumns({
+        "source": pick("doc_id % 3 = 0", "concat('https://www.example.edu/', source, '/a.pdf')").when(F.expr("doc_id % 3 = 1"), "").otherwise(F.concat("source", F.lit(".pdf"))),
+        "title": pick("doc_id % 7 = 0", "'Y%C3%B6nerge_1234567890.pdf'"), "article_no": pick("doc_id % 2 = 0", "doc_id % 50"), "article_title": pick("doc_id % 4 = 0", "'Amaç'"),
+        "page": pick("doc_id % 5 = 0", "doc_id % 9 + 1"), "page_start": pick("doc_id % 5 IN (1, 2)", "doc_id % 9 + 1"), "page_end": pick("doc_id % 5 = 1", "doc_id % 9 + 2"),
+    })
     return prompt.context(rows)
 
 
-@query("SELECT conv_id, turn, coalesce(text, '') AS answer FROM conversations")
+@query(r"""WITH a AS (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations),
+p AS (SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN t || chr(10) || '- https://x.example.edu/a.pdf with words' || chr(10) || 'gone' || chr(10) || chr(10) || 'kept' ELSE t END AS t FROM a)
+SELECT conv_id, turn, regexp_replace(t, '^\s+|\s+$', '', 'g') AS answer FROM (
+  SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN regexp_replace(t, '\n- https://x[^\n]*\ngone\n\n', chr(10)) ELSE t END AS t FROM p)""")
 def strip_sources(s, d):
-    made = F.concat(F.coalesce("text", F.lit("")), F.lit("\nhttps://x.example.edu/a.pdf\n\nKaynaklar:\n- a.pdf\n- b.pdf"))
+    linked_ = F.when(F.expr("conv_id % 2 = 0"), "\n- https://x.example.edu/a.pdf with words\ngone\n\nkept").otherwise("")
+    made = F.concat(F.coalesce("text", F.lit("")), linked_, F.lit("\n## kaynaklar :\n- a.pdf\n\nhttps://y.example.edu/b.pdf"))
     return table(s, d, "conversations").select("conv_id", "turn", prompt.strip_sources(made).alias("answer"))
 
 

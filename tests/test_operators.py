@@ -236,3 +236,42 @@ def test_robots_block_outside_the_budget(spark):
     assert rows == {"http://a.com/s": "page", "http://a.com/3": "page", "http://no.a.com/1": "robots_blocked", "http://no.a.com/d.pdf": "robots_blocked", "http://un.a.com/2": "robots_blocked"}
     urls = spark.createDataFrame([("http://no.a.com/1",), ("http://null.a.com/1",), ("http://un.a.com/1",)], "url string")
     assert {r.url: r.error for r in pages.scan(urls, robots).collect()} == {r.url: "robots_blocked" for r in urls.collect()}
+
+
+def test_history_keeps_tails_and_notes_listings(spark):
+    turns = [(1, 0, "user", "old"), (1, 1, "user", "x" * 900), (1, 2, "assistant", "Toplam: 7 benzersiz kaynak"), (1, 3, "user", None), (2, 0, "user", "merhaba")]
+    made = {r.conv_id: r.history for r in prompt.chat_history(spark.createDataFrame(turns, "conv_id long, turn int, role string, text string"), max_pairs=2).collect()}
+    assert made[1] == "\n".join(["user: old", "user: [gecmis kisaltildi]\n" + "x" * 780, f"assistant: {prompt.LISTED_TURN}", "user:"])
+    assert made[2] == "user: merhaba"
+    long = "\n".join(["a" * 30, "toplam:  3 benzersiz kaynak", "Toplam: 4 benzersiz kaynak", "b" * 30])
+    assert one(spark, long, prompt.clean_history) == prompt.LISTED_HISTORY  # the whole text is one
+    assert one(spark, "a" * 5000, prompt.clean_history) == "[gecmis kisaltildi]\n" + "a" * 2480
+    assert one(spark, "  ", prompt.clean_history) == "" and one(spark, None, prompt.clean_history) == ""
+
+
+def test_sources_labels_questions_and_errors(spark):
+    answer = "Cevap [1].\n- https://a.example.edu/x ek metin\nbuna bagli satir\n\nkalan\n\n  ### KAYNAK : a\nb"
+    assert one(spark, answer, prompt.strip_sources) == "Cevap [1].\nkalan"
+    label = lambda t, s: spark.range(1).select(prompt.source_label(F.lit(t), F.lit(s))).first()[0]
+    assert label("Y%C3%B6nerge_1234567890.PDF", "x") == "Yönerge_1234567890"[:7] and label(None, "https://a.example.edu/b/c.pdf") == "a.example.edu"
+    assert label("", "dir\\sub/ad.pdf") == "ad" and label(None, None) == "Bilinmeyen Belge" and label("", "") == "Bilinmeyen Belge"
+    asked = ["doktora yeterlik sınavı ne zaman yapılır", "onda tez izleme komitesi kimlerden oluşur", "az önce sorduğum doktora sınavı ne zaman", "bir iki üç dört", "devam et doktora yeterlik sinavi ne"]
+    assert [one(spark, q, prompt.independent) for q in asked] == [True, False, False, False, False]
+    said = ["Error 413", "Payload too large", "rate limit hit", "TPM exceeded", "requested 9 tokens over the limit", "Collection x does not exist", "error getting collection", "no such table", None]
+    assert [one(spark, m, prompt.error_class) for m in said] == ["prompt_size"] * 5 + ["collection"] * 2 + ["other"] * 2
+    assert one(spark, "-5 kredi", T.clean_question) == "-5 kredi" and one(spark, "+ 12 ) `AKTS` nedir", T.clean_question) == "AKTS` nedir"
+    assert one(spark, "ﬁ ① x", T.clean_markdown) == "fi 1 x" and one(spark, "y" * 900, lambda c: T.trim_tail(c, 25)) == "[gecmis kisaltildi]\n" + "y" * 5
+    assert one(spark, "Example AKTS kac", lambda c: T.query_tokens(c, ("example",))) == ["akts"]
+
+
+def test_dedup_articles_share_and_pages(spark):
+    rows = [(1, 0, "4", " ".join(f"w{i}" for i in range(20)), 3, 4), (1, 1, "4", "w1  w2   w3 w4 w5 w6 yeni", 1, 9), (1, 2, "5", "a b c", 2, 2), (1, 3, "5", "d e f g", 5, 5)]
+    made = legal.dedup_articles(spark.createDataFrame(rows, "doc_id long, seq int, article_no string, content string, page_start int, page_end int"))
+    got = {(r.article_no, r.seq): (r.page_start, r.page_end, r.duplicate_source_count, r.duplicate_warning) for r in made.collect()}
+    assert got == {("4", 0): (1, 9, 2, "deduplicated_contained_articles"), ("5", 2): (2, 2, 2, "duplicate_articles_kept_distinct"), ("5", 3): (5, 5, 2, "duplicate_articles_kept_distinct")}
+
+
+def test_bm25_searches_the_title(spark):
+    d = spark.createDataFrame([(1, "tez", "izleme"), (2, "baska", "metin"), (3, None, None)], "doc_id long, title string, text string")
+    q = spark.createDataFrame([("q", "tez")], "query_id string, question string")
+    assert [r.doc_id for r in rank.bm25(d, q).collect()] == [1]
