@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import normalize_eval
+from tessera.functions.text import normalize_eval, or_empty
 
 ARTICLE = r"(?iu)\bMADDE\s+(\d+)\s*(?:[-\x{2013}])?"
 
@@ -40,6 +40,35 @@ def hit_flags(ranked: DataFrame, truth: DataFrame, ks=(1, 3, 5)) -> DataFrame:
     return asked.join(found, "query_id", "left").select("query_id", *(F.coalesce(f"hit_{k}", F.lit(0)).alias(f"hit_{k}") for k in ks))
 
 
+def evaluation(results: DataFrame, expectations: DataFrame, ks=(1, 3, 5)) -> DataFrame:
+    """Per question of ``expectations``: document_hit_k and article_hit_k for each k, expected_terms_hit_<last k>, all 0 or 1.
+
+    results (query_id, rank, source, title, content, article_no), cut to the
+    last k; expectations (query_id, expected_documents, expected_article_no,
+    expected_terms). Null texts, lists and numbers are empty; no expected
+    documents or article never hit, no expected terms always do, also without
+    results. A null question id matches nothing; a repeated one has a row each time.
+    """
+    last = max(ks)
+    empty = F.expr("cast(array() as array<string>)")
+    asked = expectations.select(
+        F.monotonically_increasing_id().alias("_row"), "query_id", F.coalesce("expected_documents", empty).alias("_docs"),
+        or_empty(F.col("expected_article_no")).alias("_no"), F.coalesce("expected_terms", empty).alias("_terms"),
+    )
+    kept = results.where(F.col("rank") <= last).select("query_id", "rank", "source", "title", "content", "article_no")
+    joined = asked.join(kept, "query_id", "left")
+    named = F.concat(or_empty(F.col("source")), F.lit(" "), or_empty(F.col("title")))
+    found = F.col("rank").isNotNull()
+    document = found & expects_document(named, F.col("_docs"))
+    article = found & (F.col("_no") != "") & F.array_contains(article_numbers(F.col("content"), F.col("article_no")), F.col("_no"))
+    marked = joined.withColumns({"_document": document, "_article": article})
+    hit = lambda c, k: F.max((F.col(c) & (F.col("rank") <= k)).cast("int"))
+    flags = [F.coalesce(hit(f"_{c}", k), F.lit(0)).alias(f"{c}_hit_{k}") for c in ("document", "article") for k in ks]
+    texts = F.transform(F.sort_array(F.collect_list(F.when(found, F.struct("rank", or_empty(F.col("content")).alias("c"))))), lambda x: x["c"])  # ``last`` texts at most
+    one = marked.groupBy("_row", "query_id").agg(*flags, F.first("_terms").alias("_terms"), texts.alias("_texts"))
+    return one.withColumn(f"expected_terms_hit_{last}", expects_terms(F.col("_texts"), F.col("_terms")).cast("int")).drop("_row", "_terms", "_texts")
+
+
 def mean_flags(flags: DataFrame, columns: list[str]) -> DataFrame:
     """Means of 0/1 flags; 0.0 without rows."""
     return flags.agg(F.count("*").alias("questions"), *(F.round(F.coalesce(F.avg(F.col(c).cast("double")), F.lit(0.0)), 6).alias(c) for c in columns))

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import falsy, normalize_question, or_empty, strip, trim_tail, unquote
+from tessera import vocab
+from tessera.functions.text import contains_any, falsy, normalize_question, or_empty, strip, trim_tail, unquote
 
 CONTEXT_CHARS = 5000
 HISTORY_CHARS = 2500
@@ -120,6 +121,13 @@ def independent(question: Column) -> Column:
     return (F.size(words) >= 5) & ~back
 
 
+def asks_inventory(question: Column) -> Column:
+    """Whether a question asks which sources there are."""
+    n = normalize_question(question)
+    together = reduce(lambda a, b: a & b, (contains_any(n, words) for words in vocab.INVENTORY_TOGETHER))
+    return contains_any(n, vocab.INVENTORY_TERMS) | together
+
+
 def error_class(message: Column) -> Column:
     """prompt_size, collection or other, by what the message says."""
     m = F.lower(or_empty(message))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions import url as U
 from tessera.operators import chunk, enrich, evaluate, graph, html, legal, prompt, rank, report, rerank, store
+from tessera.operators.retrieve import inject, retrieve as retrieve_rows
 from tessera.storage import materialize, table
 from tessera.streaming import changes
 
@@ -181,6 +182,38 @@ def acronyms(s, d):
     return asked(s).select(F.col("q").cast("int").alias("q"), F.array_join(rerank.acronyms(F.col("question")), ",").alias("acronyms"))
 
 
+def fused_rows(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """What both searches find, in fused order, and all documents, with the columns that retrieval reads."""
+    rows = documents(s, d).select("doc_id", F.col("text").alias("content"), F.col("source").alias("title"), "source", *(F.lit(None).cast("string").alias(c) for c in ("article_no", "article_title")))
+    return rrf_fusion(s, d).select("query_id", "doc_id", F.col("rank").alias("position")).join(rows, "doc_id"), rows
+
+
+@query()
+def retrieve(s, d):
+    asked = questions(s, d).withColumn("question", T.clean_question(F.col("question")))
+    hits, rows = fused_rows(s, d)
+    found = retrieve_rows(inject(hits, asked, rows), asked)
+    return found.select("query_id", "rank", F.sha2("content", 256).alias("h"), "source", "rerank_score", "strong_match")
+
+
+FIRST_WORDS = "list_slice(string_split(text, ' '), 1, 2)"
+
+
+@query(f"""WITH {BM25_CTE}, r AS (SELECT query_id, rank, source, doc_id, {NORM.format(x="text")} AS n FROM bm JOIN documents USING (doc_id)),
+e AS (SELECT item_id AS query_id, 'src' || (item_id % 5) AS ed, item_id % 3 + 1 AS ea, {FIRST_WORDS} AS terms FROM benchmark),
+j AS (SELECT e.query_id, e.terms, r.rank, r.n, coalesce(contains(r.source, e.ed), false) AS doc, coalesce(r.doc_id % 4 = e.ea, false) AS art FROM e LEFT JOIN r USING (query_id)),
+g AS (SELECT query_id, any_value(terms) AS terms, coalesce(string_agg(n, ' ' ORDER BY rank), '') AS hay,
+{", ".join(f"max(CASE WHEN {c} AND rank <= {k} THEN 1 ELSE 0 END) AS {name}_hit_{k}" for c, name in (("doc", "document"), ("art", "article")) for k in (1, 3, 5))} FROM j GROUP BY query_id)
+SELECT * EXCLUDE (terms, hay), CASE WHEN len(list_filter(terms, lambda x: NOT contains(hay, {NORM.format(x="x")}))) = 0 THEN 1 ELSE 0 END AS expected_terms_hit_5 FROM g""")
+def retrieval_evaluation(s, d):
+    rows = documents(s, d).select("doc_id", "source", F.lit(None).cast("string").alias("title"), F.col("text").alias("content"), F.expr("nullif(doc_id % 4, 0)").alias("article_no"))
+    expected = table(s, d, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.array(F.concat(F.lit("src"), F.col("item_id") % 5)).alias("expected_documents"),
+        (F.col("item_id") % 3 + 1).alias("expected_article_no"), F.slice(F.split("text", " "), 1, 2).alias("expected_terms"),
+    )
+    return evaluate.evaluation(bm25_topk(s, d).join(rows, "doc_id"), expected)
+
+
 # ---- normalisers, filters, cleaning ---------------------------------------
 
 
