@@ -91,9 +91,9 @@ def dedup_composite(rows: DataFrame, *, chars: int = 120) -> DataFrame:
 
 
 def stale(rows: DataFrame, now: str, *, days: int = 30) -> DataFrame:
-    """Rows of an expiring type whose crawled_at is more than ``days`` whole days before ``now``; unparseable ones aren't."""
-    age = F.floor((F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(F.col("crawled_at").try_cast("timestamp"))) / 86400)
-    return rows.where(F.col("doc_type").isin(*vocab.EXPIRING_TYPES) & (age > days))
+    """Rows of an expiring type whose crawled_at is more than ``days`` whole days before ``now``; parts of a second count, unparseable ones aren't stale."""
+    micros = F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col("crawled_at").try_cast("timestamp"))
+    return rows.where(F.col("doc_type").isin(*vocab.EXPIRING_TYPES) & (micros >= (days + 1) * 86_400_000_000))
 
 
 def maintain(rows: DataFrame, now: str, *, days: int = 30, id_col: str = "doc_id") -> DataFrame:

@@ -1,6 +1,7 @@
 import json
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -275,3 +276,16 @@ def test_bm25_searches_the_title(spark):
     d = spark.createDataFrame([(1, "tez", "izleme"), (2, "baska", "metin"), (3, None, None)], "doc_id long, title string, text string")
     q = spark.createDataFrame([("q", "tez")], "query_id string, question string")
     assert [r.doc_id for r in rank.bm25(d, q).collect()] == [1]
+
+
+def test_staleness_counts_parts_of_a_second(spark, tmp_path):
+    """A row in the first second of a day isn't yet a whole day older; an empty table has no stale rows."""
+    rows = [(1, "2024-01-30 12:00:00.5"), (2, "2024-01-20 00:00:00.000001"), (3, "2024-01-20 00:00:00"), (4, "2024-01-19 23:59:59.999999"), (5, None)]
+    events = spark.createDataFrame([(*x, "click") for x in rows], "event_id long, ts string, event_type string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    for made, want in ((events, [3, 4]), (events.limit(0), [])):
+        at = tmp_path / str(len(want))
+        made.coalesce(1).write.parquet(f"{at}/events.parquet")
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW events AS SELECT * FROM '{at}/events.parquet/*.parquet'")
+        got = sorted(r.event_id for r in catalogue.stale_expiry(spark, str(at)).collect())
+        assert got == want == sorted(x for x, in con.execute(catalogue.ORACLES["stale_expiry"]).fetchall())
