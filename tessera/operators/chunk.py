@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.storage import map_arrow
+
+SENTENCE_END = re.compile(r"(?<=[.?!])\s+", re.ASCII)
 SEPARATORS = ("\n## ", "\n### ", "\n\n", "\n", ". ", " ")
 
 
@@ -82,26 +88,55 @@ def recursive_chunks(docs: DataFrame, *, key: str = "doc_id", size: int = 1000,
     return docs.select(F.col(key).cast("long").alias(key), "text").mapInPandas(run, f"{key} long, pos int, content string")
 
 
-def sentence_vectors(sentences: DataFrame, *, buckets: int = 64) -> DataFrame:
-    """A deterministic stand-in for an embedding model: hashed word counts of a sentence and its neighbours."""
-    w = Window.partitionBy("doc_id").orderBy("i")
-    near = F.concat_ws(" ", F.lag("s").over(w), F.col("s"), F.lead("s").over(w))
-    hashed = F.transform(F.filter(F.split(F.lower(near), r"\s+"), lambda x: x != ""), lambda x: F.pmod(F.xxhash64(x), F.lit(buckets)).cast("int"))
-    counted = sentences.withColumn("h", hashed)
-    return counted.withColumn("v", F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: F.size(F.filter("h", lambda x: x == b)).cast("double"))).drop("h")
+def sentence_vectors(sentences: list[str], start: int, stop: int, *, buckets: int = 64) -> np.ndarray:
+    """A deterministic stand-in for an embedding model: hashed word counts of each of sentences[start:stop] and its neighbours."""
+    first, last = max(start - 1, 0), min(stop + 1, len(sentences))
+    words = [s.lower().encode().split() for s in sentences[first:last]]
+    hashed = np.fromiter((xxhash.xxh64_intdigest(w, 42) for ws in words for w in ws), np.uint64).view(np.int64) % buckets
+    place = np.repeat(np.arange(1, len(words) + 1), [len(ws) for ws in words])
+    own = np.bincount(place * buckets + hashed, minlength=(len(words) + 2) * buckets).reshape(-1, buckets).astype(np.float64)
+    return (own[:-2] + own[1:-1] + own[2:])[start - first : stop - first]
+
+
+def _cosines(v: np.ndarray) -> np.ndarray:
+    """Of each row but the first the cosine to the row before; not a number beside a row of zeros."""
+    norms = np.sqrt((v * v).sum(axis=1))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return (v[:-1] * v[1:]).sum(axis=1) / (norms[:-1] * norms[1:])
 
 
-def semantic_chunks(docs: DataFrame, *, percentile: float = 0.95, vectors=sentence_vectors) -> DataFrame:
-    """(doc_id, pos, content): sentences cut where the distance to the next exceeds the text's percentile.
+def split_semantic(text: str, *, percentile: float = 0.95, vectors: Callable[[list[str], int, int], np.ndarray] = sentence_vectors, block: int = 4096) -> list[str]:
+    """Runs of sentences, cut where the distance to the next exceeds the percentile (interpolated) of the text's distances.
 
-    ``vectors`` adds a column v to (doc_id, i, s); any model can stand there.
+    Vectors are made for ``block`` sentences at a time, whatever the text's length.
     """
-    from tessera.operators.rank import cosine
-
-    sentences = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"(?<=[.?!])\s+")).alias("i", "s"))
-    w = Window.partitionBy("doc_id").orderBy("i")
-    apart = vectors(sentences).withColumn("d", 1 - cosine(F.lag("v").over(w), F.col("v")))
-    cut = apart.withColumn("limit", F.expr(f"percentile(d, {percentile})").over(Window.partitionBy("doc_id")))
-    parts = cut.withColumn("pos", F.sum(F.coalesce((F.col("d") > F.col("limit")).cast("int"), F.lit(0))).over(w).cast("int"))
-    made = parts.groupBy("doc_id", "pos").agg(F.sort_array(F.collect_list(F.struct("i", "s"))).alias("ls"))
-    return made.select("doc_id", "pos", F.array_join(F.transform("ls", lambda x: x["s"]), " ").alias("content"))
+    sentences = SENTENCE_END.split(text)
+    if len(sentences) < 2:
+        return sentences
+    apart = 1 - np.concatenate([_cosines(np.asarray(vectors(sentences, max(a - 1, 0), min(a + block, len(sentences))), np.float64)) for a in range(0, len(sentences), block)])
+    known = np.sort(apart[~np.isnan(apart)])
+    if not len(known):
+        return [" ".join(sentences)]
+    at = (len(known) - 1) * percentile
+    low, high = known[int(at)], known[int(np.ceil(at))]
+    limit = low if low == high else (np.ceil(at) - at) * low + (at - int(at)) * high
+    cuts = [0, *(np.flatnonzero(apart > limit) + 1).tolist(), len(sentences)]
+    return [" ".join(sentences[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def semantic_chunks(docs: DataFrame, *, key: str = "doc_id", percentile: float = 0.95, vectors: Callable[[list[str], int, int], np.ndarray] = sentence_vectors) -> DataFrame:
+    """(key, pos, content) of every text by ``split_semantic``, in Arrow batches; no shuffle, as a text is one row.
+
+    ``vectors`` gives the rows start to stop of the matrix of a text's
+    sentences; any model can stand there.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [split_semantic(t.as_py() or "", percentile=percentile, vectors=vectors) for t in b.column(1)]
+            each = np.array([len(x) for x in made], np.int64)
+            keys = b.column(0).take(pa.array(np.repeat(np.arange(len(made)), each)))
+            pos = np.arange(each.sum()) - np.repeat(each.cumsum() - each, each)
+            yield pa.RecordBatch.from_arrays([keys, pa.array(pos, pa.int32()), pa.array([c for x in made for c in x], pa.string())], [key, "pos", "content"])
+
+    return map_arrow(docs.select(F.col(key).cast("long").alias(key), "text"), run, f"{key} long, pos int, content string")

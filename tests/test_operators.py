@@ -289,3 +289,23 @@ def test_staleness_counts_parts_of_a_second(spark, tmp_path):
         con.execute(f"CREATE VIEW events AS SELECT * FROM '{at}/events.parquet/*.parquet'")
         got = sorted(r.event_id for r in catalogue.stale_expiry(spark, str(at)).collect())
         assert got == want == sorted(x for x, in con.execute(catalogue.ORACLES["stale_expiry"]).fetchall())
+
+
+def test_semantic_cuts_in_one_pass(spark):
+    """No exchange, each row on its own, values by hand, blocks as the whole; a text's own model can take the place of the counts."""
+    text = "Red fox. Red fox. Red fox. Blue sky! Blue sky! Blue sky!"
+    rows = [(1, text), (1, "a. b"), (2, None), (3, "x. " * 500), (None, "one")]
+    made = chunk.semantic_chunks(spark.createDataFrame(rows, "doc_id long, text string"), percentile=0.5)
+    assert not re.search("Exchange|Window|Generate", made._jdf.queryExecution().executedPlan().toString())
+    got = [tuple(r) for r in made.collect()]
+    assert [g for g in got if g[0] == 2] == [(2, 0, "")] and [g for g in got if g[0] is None] == [(None, 0, "one")]
+    assert (1, 0, "a. b") in got and "".join(c for k, _, c in got if k == 3).count("x.") == 500
+
+    def topic(sentences, start, stop):
+        return [[1.0, 0.0] if "Red" in s else [0.0, 1.0] for s in sentences[start:stop]]
+
+    assert chunk.split_semantic(text, vectors=topic) == ["Red fox. Red fox. Red fox.", "Blue sky! Blue sky! Blue sky!"]
+    long = " ".join(f"w{i % 97} z{i * i % 13}." for i in range(500))
+    assert chunk.split_semantic(long, block=7) == chunk.split_semantic(long) and len(chunk.split_semantic(long)) > 5
+    v = chunk.sentence_vectors(["a b.", "c", "d. c"], 0, 3)
+    assert v.sum(axis=1).tolist() == [3.0, 5.0, 3.0]
