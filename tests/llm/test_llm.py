@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from oracle import rows_of, rows_of_sql, views  # noqa: E402
 
+from tessera import storage  # noqa: E402
 from tessera.llm import chat, components, host_rules, langid, license, mixing, ngram_join, packing, pii, queries, shingles, substring_dedup, topk  # noqa: E402
 
 DIR = "/root/testdata/sf0.001"
@@ -532,3 +533,24 @@ def test_mixture_meets_its_budget(spark):
     assert abs(expected - 0.5 * total) < 0.01 * total
     words = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in d.collect()}
     assert all(r.tokens == words[r.doc_id] for r in rows)
+
+
+def test_topk_leaves_the_driver_alone(spark, monkeypatch):
+    """Queries and shards meet without a broadcast or an exploded row for each pair, in several waves; the rows are the brute force's."""
+    monkeypatch.setattr(topk, "SHARD_ROWS", 40)
+    plans, write = [], storage._write
+    monkeypatch.setattr(storage, "_write", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    r = np.random.default_rng(5)
+    rows = [(int(i), [float(e) for e in r.normal(0, 1, 5).round(1)]) for i in r.permutation(900)]
+    made = defaultdict(list)
+    for x in topk.exact_topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        made[x.query_id].append((x.vec_id, x.score))
+    assert made == brute_topk(rows, 10) and len(made) == 9
+    assert len(plans) > 8 and not re.search("Broadcast|Generate explode", "".join(plans))
+
+
+def test_topk_counts_copies_besides_the_query(spark):
+    """A leaf of equal vectors in which the query's own id comes first and often."""
+    rows = [(0, [1.0, 2.0])] * 200 + [(i, [1.0, 2.0]) for i in range(1, 30)]
+    got = [(x.query_id, x.rank, x.vec_id) for x in topk.exact_topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect()]
+    assert got == [(0, i + 1, v) for i, (v, _) in enumerate(brute_topk(rows, 10)[0])] and len(got) == 10
