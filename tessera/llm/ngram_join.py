@@ -23,7 +23,8 @@ into fragments, and a document's set falls into one segment per fragment.
   differences from the pivot, of which two linked sets share a known part, so
   no link that changes a component is lost. A set has many segments, so even a
   bucket with a third of all sets is a small part of the segment table; that
-  table is sorted by segment and read as a stream, never held by group.
+  table is sorted by segment and counted in one pass, in which groups beyond
+  memory spill.
 """
 
 from __future__ import annotations
@@ -212,7 +213,8 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 5, percent: int = 80,
             copies = write(sets.join(classes, digest).where("id <> rep").select("id"), "copies")
             cuts = sets.join(copies, "id", "left_anti").select("id", F.explode("cuts").alias("cut"))
             rows = cuts.select(F.explode("cut.keys").alias("key"), "id", F.col("cut.spare").alias("spare"))
-            buckets = write(map_arrow(rows.repartition("key").sortWithinPartitions("key"), _shared, "key long, id long, spare int"), "buckets")
+            shared = rows.repartition("key").withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1")  # groups beyond memory spill
+            buckets = write(shared, "buckets")
             sets = write(sets.select("id", *digest), "digests")
             write.drop(base)
             if not buckets.isEmpty():
@@ -229,14 +231,13 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 5, percent: int = 80,
 def _components(buckets: DataFrame, source: DataFrame, sets: DataFrame, shingle: int, percent: int, write: Scratch) -> DataFrame:
     """(id, component) of the representatives that have links."""
     # linked sets share more than `spare` keys, so a set's `spare` most frequent ones (in one order for all) needn't be looked at
-    sized = buckets.join(buckets.groupBy("key").agg(F.count("*").alias("m")), "key")
     frequent = Window.partitionBy("id", "spare").orderBy(F.desc("m"), F.desc("key"))
-    few = sized.withColumn("r", F.row_number().over(frequent)).where("r > spare").select("key", "id")
+    few = buckets.withColumn("r", F.row_number().over(frequent)).where("r > spare").select("key", "id")
     several = few.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     few = write(few.join(several, "key"), "few")
     write.drop(buckets)
-    central = few.groupBy("id").agg(F.sum("m").alias("score"))
-    ranked = write(few.join(central, "id").select("key", "id", "score"), "ranked")
+    of_set = Window.partitionBy("id")  # as many rows as the set has segments, so never a hot group
+    ranked = write(few.select("key", "id", F.sum("m").over(of_set).alias("score")), "ranked")
     write.drop(few)
     wanted = write(ranked.select("id").distinct().join(sets, "id"), "wanted")
     made = map_arrow(source.join(wanted, "id").select("id", "text", "n", "d1", "d2"), _segments(shingle, percent), "id long, n long, small array<long>, sketch array<long>, parts array<array<long>>")

@@ -554,3 +554,16 @@ def test_topk_counts_copies_besides_the_query(spark):
     rows = [(0, [1.0, 2.0])] * 200 + [(i, [1.0, 2.0]) for i in range(1, 30)]
     got = [(x.query_id, x.rank, x.vec_id) for x in topk.exact_topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect()]
     assert got == [(0, i + 1, v) for i, (v, _) in enumerate(brute_topk(rows, 10)[0])] and len(got) == 10
+
+
+def test_segments_are_counted_where_they_meet(spark, monkeypatch):
+    """Bucket sizes and scores come from the pass that deals the rows anyway, not from another shuffle and a join back."""
+    plans, write = {}, storage._write
+    monkeypatch.setattr(storage, "_write", lambda df, name: plans.setdefault(name, (df.columns, df._jdf.queryExecution().executedPlan().toString())) and write(df, name))
+    r = random.Random(3)
+    base = [[f"w{r.randrange(400)}" for _ in range(60)] for _ in range(8)]
+    rows = [(8 * i + j, " ".join([*words[:-1], f"x{i}"] if i else words)) for i in range(4) for j, words in enumerate(base)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.jaccard_components(d, shingle=3, percent=90).collect()} == brute_components(rows, 3, 90)
+    assert "m" in plans["buckets"][0] and "Join" not in plans["ranked"][1]
+    assert [plans[n][1].count("Exchange hashpartitioning") for n in ("buckets", "ranked")] == [1, 1]
