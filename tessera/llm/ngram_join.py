@@ -10,6 +10,10 @@ into fragments, and a document's set falls into one segment per fragment.
   one's cut. Documents meet only where a whole segment agrees, and not on the s
   most frequent segments of either, so lines and passages that many documents
   share bring hardly any candidates.
+* Passes. Texts are read three times: for the digests that fold equal sets, for
+  the segment keys of representatives, which go straight into the shuffle that
+  deals them, and for the sets of those that have candidates. Each pass finds
+  its ids by a bounded bitmap, so texts are neither shuffled nor joined.
 * Counts. Each candidate pair's overlap is counted fragment by fragment and
   summed per pair; the sum decides exactly. Before that a parity sketch (each
   bit the parity of the shingles that fall on it) drops pairs that differ in
@@ -29,7 +33,7 @@ into fragments, and a document's set falls into one segment per fragment.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +41,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
+from tessera.llm.id_bitmap import found_in, has, id_bitmap
 from tessera.llm.shingles import WordHashes, mix, shingle_set
 from tessera.storage import Scratch, map_arrow, materialize
 
@@ -44,6 +49,8 @@ from tessera.storage import Scratch, map_arrow, materialize
 COUNT_FRAGMENTS = 4
 #: 64-bit words of the sketch that travels with candidates; longer ones fold to it.
 SKETCH_WORDS = 16
+#: Bits of a segment key that are kept. Equal segments keep equal keys; a few more that agree by chance are candidates that the counts drop.
+KEY_BITS = 40
 
 
 def _edges(percent: int) -> np.ndarray:
@@ -67,7 +74,7 @@ def _segment_keys(h: np.ndarray, band: int, k: int) -> np.ndarray:
     starts = np.flatnonzero(np.r_[True, frag[1:] != frag[:-1]])
     sums = np.zeros(k, np.uint64)
     sums[frag[starts].astype(np.int64)] = np.add.reduceat(mix(h), starts)
-    return mix(sums + mix(np.arange(k, dtype=np.uint64) + np.uint64(band << 40)))
+    return mix(sums + mix(np.arange(k, dtype=np.uint64) + np.uint64(band << 40))) >> np.uint64(64 - KEY_BITS)
 
 
 def _bands(n: int, edges: np.ndarray, percent: int) -> list[int]:
@@ -76,19 +83,37 @@ def _bands(n: int, edges: np.ndarray, percent: int) -> list[int]:
     return [band] if 100 * n // percent < edges[band + 1] else [band, band + 1]
 
 
-def _sets(k: int, percent: int):
-    """Of each text the size and digests of its set, and its segment keys by cut."""
+def _sets(k: int):
+    """Of each text the size and digests of its set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
+        for batch in batches:
+            out = ([], [], [])
+            for text in batch.column(1):
+                h = shingle_set(text.as_py(), k, memo)
+                for column, value in zip(out, (len(h), *_digest(h)), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in out)], ["id", "n", "d1", "d2"])
+
+    return run
+
+
+def _cuts(k: int, percent: int, copies: np.ndarray, kept: np.ndarray):
+    """Segment keys by cut, with size and digests, of the sets whose id isn't found in ``copies``, or is in ``kept`` too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, edges = WordHashes(), _edges(percent)
         for batch in batches:
+            ids = batch.column(0).to_numpy()
+            batch = batch.filter(pa.array(~has(copies, ids) | has(kept, ids)))
             n, d1, d2, per_text, spares, per_cut, keys = [], [], [], [0], [], [0], [np.empty(0, np.int64)]
             for text in batch.column(1):
                 h = shingle_set(text.as_py(), k, memo)
                 n.append(len(h))
                 for out, value in zip((d1, d2), _digest(h), strict=True):
                     out.append(value)
-                for band in _bands(len(h), edges, percent) if len(h) and percent < 100 else ():
+                for band in _bands(len(h), edges, percent) if len(h) else ():
                     fragments, spare = _cut(band, edges, percent)
                     if fragments:
                         keys.append(_segment_keys(h, band, fragments).view(np.int64))
@@ -132,23 +157,26 @@ def sketch_of(h: np.ndarray, percent: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _segments(k: int, percent: int):
-    """Of rows (id, text, n, d1, d2) whose text has the set n, d1, d2: its sketches and its shingles by fragment."""
+def _segments(k: int, percent: int, wanted: np.ndarray):
+    """Of the sets whose id is found in ``wanted``: size, digests, sketches and shingles by fragment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
-            ids, sizes, small, sketch, parts = [], [], [], [], []
-            want = zip(*(batch.column(c).to_pylist() for c in ("id", "n", "d1", "d2")), strict=True)
-            for (key, n, *digest), text in zip(want, batch.column("text"), strict=True):
+            batch = batch.filter(pa.array(has(wanted, batch.column(0).to_numpy())))
+            ids, numbers, small, sketch, parts = [], ([], [], []), [], [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 h = shingle_set(text.as_py(), k, memo)
-                if len(h) == n and _digest(h) == tuple(digest):
+                if len(h):
                     frag = ((h >> np.uint64(32)) * np.uint64(COUNT_FRAGMENTS)) >> np.uint64(32)
                     s = sketch_of(h, percent)
-                    ids.append(key), sizes.append(n), sketch.append(s), small.append(np.bitwise_xor.reduce(s.reshape(-1, SKETCH_WORDS), axis=0))
+                    ids.append(key), sketch.append(s), small.append(np.bitwise_xor.reduce(s.reshape(-1, SKETCH_WORDS), axis=0))
+                    for out, value in zip(numbers, (len(h), *_digest(h)), strict=True):
+                        out.append(value)
                     parts.append([h[frag == f].view(np.int64) for f in range(COUNT_FRAGMENTS)])
             words = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(small, words), pa.array(sketch, words), pa.array(parts, pa.list_(words))], ["id", "n", "small", "sketch", "parts"])
+            columns = [pa.array(ids, pa.int64()), *(pa.array(x, pa.int64()) for x in numbers), pa.array(small, words), pa.array(sketch, words), pa.array(parts, pa.list_(words))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "d1", "d2", "small", "sketch", "parts"])
 
     return run
 
@@ -199,27 +227,28 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 5, percent: int = 80,
         raise ValueError("percent must be 75 to 100")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     digest = ["n", "d1", "d2"]
-    schema = "id long, n long, d1 long, d2 long, cuts array<struct<spare:int,keys:array<long>>>"
     with Scratch(docs.sparkSession) as write:
-        base = write(map_arrow(source, _sets(shingle, percent), schema), "sets")
-        members = materialize(base.select("id", *digest), "members")
-        sets = base.where("n > 0 AND id IS NOT NULL")
-        repeats = not members.where("n > 0").groupBy("id").count().where("id IS NOT NULL AND count > 1").isEmpty()
+        members = materialize(map_arrow(source, _sets(shingle), "id long, n long, d1 long, d2 long"), "members")
+        sets = members.where("n > 0 AND id IS NOT NULL")
+        repeats = not sets.groupBy("id").count().where("count > 1").isEmpty()
         if repeats:  # an id's largest set stands for it
-            sets = write(sets.groupBy("id").agg(F.max(F.struct(*digest, "cuts")).alias("s")).select("id", "s.*"), "largest")
+            sets = write(sets.groupBy("id").agg(F.max(F.struct(*digest)).alias("s")).select("id", "s.*"), "largest")
         classes = materialize(sets.groupBy(*digest).agg(F.min("id").alias("rep")), "classes")
         found = None
         if percent < 100:
-            copies = write(sets.join(classes, digest).where("id <> rep").select("id"), "copies")
-            cuts = sets.join(copies, "id", "left_anti").select("id", F.explode("cuts").alias("cut"))
+            # texts are read again rather than their keys kept: these take more room than the texts
+            read = source.where(F.col("id").isNotNull())
+            rows_of = lambda made: made.join(sets, ["id", *digest], "left_semi").dropDuplicates(["id"]) if repeats else made
+            copies = id_bitmap(write(sets.join(classes, digest).where("id <> rep").select("id"), "copies"))
+            kept = id_bitmap(found_in(copies, classes.select(F.col("rep").alias("id"))))  # representatives that only chance finds; copies found here too do no harm
+            made = map_arrow(read, _cuts(shingle, percent, copies, kept), "id long, n long, d1 long, d2 long, cuts array<struct<spare:int,keys:array<long>>>")
+            cuts = rows_of(made).select("id", F.explode("cuts").alias("cut"))
             rows = cuts.select(F.explode("cut.keys").alias("key"), "id", F.col("cut.spare").alias("spare"))
             shared = rows.repartition("key").withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1")  # groups beyond memory spill
             buckets = write(shared, "buckets")
-            sets = write(sets.select("id", *digest), "digests")
-            write.drop(base)
+            write.drop()
             if not buckets.isEmpty():
-                read = source.where(F.col("id").isNotNull())
-                found = materialize(_components(buckets, read, sets, shingle, percent, write), "components")
+                found = materialize(_components(buckets, read, rows_of, shingle, percent, write), "components")
         if repeats:
             owner = materialize(sets.join(classes, digest).select("id", "rep"), "owners")
     members = members.join(owner, "id", "left") if repeats else members.join(classes, digest, "left")
@@ -228,8 +257,8 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 5, percent: int = 80,
     return members.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("component_id"))
 
 
-def _components(buckets: DataFrame, source: DataFrame, sets: DataFrame, shingle: int, percent: int, write: Scratch) -> DataFrame:
-    """(id, component) of the representatives that have links."""
+def _components(buckets: DataFrame, source: DataFrame, rows_of: Callable[[DataFrame], DataFrame], shingle: int, percent: int, write: Scratch) -> DataFrame:
+    """(id, component) of the representatives that have links; ``rows_of`` leaves one row of an id, that of its set."""
     # linked sets share more than `spare` keys, so a set's `spare` most frequent ones (in one order for all) needn't be looked at
     frequent = Window.partitionBy("id", "spare").orderBy(F.desc("m"), F.desc("key"))
     few = buckets.withColumn("r", F.row_number().over(frequent)).where("r > spare").select("key", "id")
@@ -239,11 +268,9 @@ def _components(buckets: DataFrame, source: DataFrame, sets: DataFrame, shingle:
     of_set = Window.partitionBy("id")  # as many rows as the set has segments, so never a hot group
     ranked = write(few.select("key", "id", F.sum("m").over(of_set).alias("score")), "ranked")
     write.drop(few)
-    wanted = write(ranked.select("id").distinct().join(sets, "id"), "wanted")
-    made = map_arrow(source.join(wanted, "id").select("id", "text", "n", "d1", "d2"), _segments(shingle, percent), "id long, n long, small array<long>, sketch array<long>, parts array<array<long>>")
-    segments = write(made, "segments")
-    if segments.count() > wanted.count():  # ids with rows of the same set
-        segments = write(segments.dropDuplicates(["id"]), "segments")
+    wanted = id_bitmap(write(ranked.select("id").distinct(), "wanted"))
+    made = map_arrow(source, _segments(shingle, percent, wanted), "id long, n long, d1 long, d2 long, small array<long>, sketch array<long>, parts array<array<long>>")
+    segments = write(rows_of(made).drop("d1", "d2"), "segments")  # some that nothing asks for among them
     hubs = ranked.groupBy("key").agg(F.max(F.struct("score", F.negate("id").alias("low"))).alias("h")).select("key", F.negate("h.low").alias("a"))
     hubbed = write(ranked.join(hubs, "key"), "hubbed")
     write.drop(ranked)
@@ -274,6 +301,7 @@ def _by_difference(members: DataFrame, segments: DataFrame, percent: int, write:
     x, h = _by_fragment(segments, part="px"), _by_fragment(segments, id="hub", n="nh", part="ph")
     parts = stars.join(x, "id").join(h, ["hub", "frag"]).select("hub", "id", "label", "n", "nh", F.concat(F.array_except("px", "ph"), F.array_except("ph", "px")).alias("d"))
     whole = write(parts.groupBy("hub", "id", "label", "n", "nh").agg(F.flatten(F.collect_list("d")).alias("d")), "differences")  # a row for each fragment
+    write.drop()
     r = (100 - percent) / (100 + percent)
     size, near = F.size("d"), F.lit(r) * (F.col("n") + F.col("nh"))
     at_least = lambda c: F.greatest(F.lit(1), F.ceil(c - 1e-9).cast("int"))

@@ -567,3 +567,35 @@ def test_segments_are_counted_where_they_meet(spark, monkeypatch):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.jaccard_components(d, shingle=3, percent=90).collect()} == brute_components(rows, 3, 90)
     assert "m" in plans["buckets"][0] and "Join" not in plans["ranked"][1]
     assert [plans[n][1].count("Exchange hashpartitioning") for n in ("buckets", "ranked")] == [1, 1]
+
+
+def test_ngram_join_leaves_texts_and_keys_where_they_are(spark, monkeypatch):
+    """No text is shuffled or joined on its way to its set, and no segment keys are kept besides the shuffle that deals them."""
+    plans, write = {}, storage._write
+    monkeypatch.setattr(storage, "_write", lambda df, name: plans.setdefault(name, (df.schema.simpleString(), df._jdf.queryExecution().executedPlan().toString())) and write(df, name))
+    r = random.Random(4)
+    base = [[f"w{r.randrange(400)}" for _ in range(60)] for _ in range(8)]
+    rows = [(8 * i + j, " ".join([*words[:-1], f"x{i % 3}"] if i else words)) for i in range(6) for j, words in enumerate(base)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.jaccard_components(d, shingle=3, percent=90).collect()} == brute_components(rows, 3, 90)
+    assert not re.search("Join|Exchange", plans["segments"][1]) and "Join" not in plans["buckets"][1]
+    assert [n for n, (columns, _) in plans.items() if "array" in columns] == ["segments"]
+
+
+def test_ngram_join_bears_ids_found_by_chance(spark, monkeypatch):
+    """A bitmap so full that it finds every id, and ids that repeat, lose and add no link."""
+    from tessera.llm import id_bitmap
+
+    ids = [3, -7, 2**62, 0, 100]
+    bitmap = id_bitmap.id_bitmap(spark.createDataFrame([(i,) for i in ids], "id long"))
+    assert id_bitmap.has(bitmap, np.array(ids)).all() and id_bitmap.has(bitmap, np.arange(1000, 2000)).mean() < 0.1
+    assert not id_bitmap.has(id_bitmap.id_bitmap(spark.createDataFrame([], "id long")), np.array(ids)).any()
+    monkeypatch.setattr(id_bitmap, "MOST_BITS", 64)
+    r = random.Random(6)
+    base = [[f"w{r.randrange(300)}" for _ in range(50)] for _ in range(6)]
+    rows = [(6 * i + j, " ".join([*words[:-1], f"x{i % 4}"] if i % 5 else words)) for i in range(20) for j, words in enumerate(base)]
+    twice = [*rows, *rows[:5], (7, "a b c"), (None, rows[0][1])]
+    want = brute_components(rows, 3, 90)
+    for given in (rows, twice):
+        made = ngram_join.jaccard_components(spark.createDataFrame(given, "doc_id long, text string"), shingle=3, percent=90).where("doc_id IS NOT NULL").collect()
+        assert len(made) >= len(rows) and {x.doc_id: x.component_id for x in made} == {i: c for i, (_, c) in want.items()}
